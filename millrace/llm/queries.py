@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, mixing, simhash, tokens
+from millrace.llm import decontaminate, langid, mixing, quality, simhash, tokens, warc
 from millrace.llm.common import table
 
 
@@ -16,10 +17,20 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.Classifier(langid.training_rows(docs))
+    return langid.identify(docs, model, keep=["doc_id"]).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archives(table(spark, sf_dir, "pages"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokens_of(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -32,5 +43,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix, op6_tokens, op8_decontaminate, op9_simhash)}
-SQL: dict[str, str] = {"op2_mix": mixing.SQL}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_mix, op4_warc, op6_tokens, op8_decontaminate, op9_simhash, op10_quality)}
+SQL: dict[str, str] = {"op2_mix": mixing.SQL, "op4_warc": warc.SQL}
