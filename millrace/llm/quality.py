@@ -9,7 +9,8 @@ a sorted array of n-gram numbers beside arrays of their values. Scoring tasks ma
 n-grams of a text up by binary search; n-grams that the model lacks back off to shorter ones.
 
 A document's perplexity must lie in its language's band, which reaches `SPREAD` interquartile ranges of the logarithm
-beyond the quartiles of all documents of that language that pass the base rules. Base rules (words
+beyond the quartiles of all documents of that language that pass the base rules. The mean over a short text scatters as
+one over the root of its length, so below `STEADY` words the band widens by that root. Base rules (words
 `[^\\x20\\x09-\\x0D]+`): 20 words at least, and at most 30 % of words in 8-word windows found twice or more.
 
 Defined results: null texts have no words and fail; a null language is a language of its own; texts without symbols
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from millrace.llm.common import SPACE, arrow_columns, filesystem, materialise, publish, shared_dir, slices, texts_of
 
-ORDER, SPREAD, LEAST_WORDS, REPEATED, REPEAT_WINDOW = 5, 4.0, 20, 30, 8
+ORDER, SPREAD, STEADY, LEAST_WORDS, REPEATED, REPEAT_WINDOW = 5, 4.0, 100, 20, 30, 8
 _PAD, _BITS = 63, 6
 #: Distinct n-grams that a counting task holds before it hands them on.
 HELD = 1 << 21
@@ -331,11 +332,11 @@ def base_failed() -> Column:
 
 
 def bands(rows: DataFrame, spread: float = SPREAD) -> DataFrame:
-    """(lang, low, high) on logppl."""
+    """(lang, q1, q3, reach) on logppl."""
     q = F.percentile_approx("logppl", F.array(F.lit(0.25), F.lit(0.75)), 10_000)
     t = rows.filter(~base_failed() & F.col("logppl").isNotNull()).groupBy("lang").agg(q.alias("q"))
     reach = (F.col("q")[1] - F.col("q")[0]) * spread
-    return t.select("lang", (F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + reach).alias("high"))
+    return t.select("lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), reach.alias("reach"))
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> str:
@@ -350,6 +351,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     model = model or train(docs, text_col, lang_col)
     rows = materialise(measured(docs, model, id_col, text_col, lang_col))
     out = rows.join(bands(rows, spread), "lang", "left").withColumn("base_failed", base_failed())
+    wide = F.col("reach") * F.sqrt(F.greatest(F.lit(1.0), F.lit(float(STEADY)) / F.greatest("n_words", F.lit(1))))
+    out = out.withColumn("low", F.col("q1") - wide).withColumn("high", F.col("q3") + wide)
     inside = F.coalesce(F.col("logppl").between(F.col("low"), F.col("high")), F.lit(True))
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return out.select(F.col("id").alias(id_col), *measures, "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.exp("logppl").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"))

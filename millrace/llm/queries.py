@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, langid, mixing, quality, simhash, tokens, warc
+from millrace.llm import decontaminate, langid, mixing, pii, quality, secrets, simhash, tokens, warc
 from millrace.llm.common import table
 
 
@@ -31,10 +31,18 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archives(table(spark, sf_dir, "pages"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokens_of(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
@@ -47,5 +55,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_mix, op4_warc, op6_tokens, op8_decontaminate, op9_simhash, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_mix, op4_warc, op5_secrets, op6_tokens, op7_pii, op8_decontaminate, op9_simhash, op10_quality)}
 SQL: dict[str, str] = {"op2_mix": mixing.SQL, "op4_warc": warc.SQL}
