@@ -19,6 +19,7 @@ SPACE = " \t\n\x0b\x0c\r"
 SLICE_BYTES = 16 << 20
 #: Salts that spread the rows of one hot key over tasks.
 SALTS = 64
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, where: str | None = None) -> DataFrame:
-    """Writes the rows below the shared folder and reads them back: lineage ends there and a lost executor costs nothing."""
+    """Writes the rows below the shared folder and reads them back: lineage ends there and a lost executor costs nothing.
+
+    The write's own shuffle files go once it is done; nothing reads them again.
+    """
     spark = df.sparkSession
     path = where or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, langid, mixing, pii, quality, secrets, simhash, tokens, warc
+from millrace.llm import decontaminate, langid, linededup, mixing, pii, quality, secrets, simhash, tokens, warc
 from millrace.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archives(table(spark, sf_dir, "pages"))
 
@@ -55,5 +59,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_mix, op4_warc, op5_secrets, op6_tokens, op7_pii, op8_decontaminate, op9_simhash, op10_quality)}
-SQL: dict[str, str] = {"op2_mix": mixing.SQL, "op4_warc": warc.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_mix, op3_lines, op4_warc, op5_secrets, op6_tokens, op7_pii, op8_decontaminate, op9_simhash, op10_quality)}
+SQL: dict[str, str] = {"op2_mix": mixing.SQL, "op3_lines": linededup.SQL, "op4_warc": warc.SQL}
