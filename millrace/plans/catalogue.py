@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from millrace.plans import filter_queries, mapping_queries, report_queries
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def survivors_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+QUERIES = mapping_queries.QUERIES | filter_queries.QUERIES | report_queries.QUERIES
+SQL = mapping_queries.SQL | filter_queries.SQL | report_queries.SQL
+survivors_by_language = filter_queries.survivors_by_language
