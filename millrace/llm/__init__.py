@@ -1,10 +1 @@
-"""Operations of a training-data pipeline. Nothing else in the package imports this subpackage.
-
-Kernels that run in Python workers travel by value, so executors need no copy of this package.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operations of a training-data pipeline. Nothing else in the package imports this subpackage."""
