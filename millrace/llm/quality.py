@@ -211,6 +211,10 @@ class Model:
         for k in range(1, order + 1):
             name = f"{root}/{_folder(lang)}/{k}"
             self.levels.append([self._open(fs, f"{name}.{kind}", t) for kind, t in (("key", "<u4"), ("logp", "<f4"), ("logb", "<f4"))])
+        # Symbols that the language never shows share what its symbols leave.
+        seen = self.levels[0][1][~np.isnan(self.levels[0][1])]
+        rest = 1.0 - float(np.exp(seen.astype(np.float64)).sum())
+        self.floor = float(np.log(rest / (64 - len(seen)))) if len(seen) < 64 and rest > 1e-9 else -float(np.log(64.0))
 
     @staticmethod
     def _open(fs, name: str, kind: str) -> np.ndarray:
@@ -231,7 +235,7 @@ class Model:
         """Natural log probabilities of the last symbols."""
         level = len(self.levels) if level is None else level
         if not level:
-            return np.full(len(codes), -np.log(64.0), np.float32)
+            return np.full(len(codes), self.floor, np.float32)
         keys, logp, _ = self.levels[level - 1]
         found, at = self._find(keys, codes)
         out = np.zeros(len(codes), np.float32)
