@@ -37,11 +37,13 @@ def duck(sf_dir):
 
 def same_rows(a, b):
     """Rows of two pandas frames as sorted lists of texts."""
+    import pandas as pd
+
     assert set(a.columns) == set(b.columns)
     cols = sorted(a.columns)
 
     def text(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return ""
         return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v)
 
