@@ -201,3 +201,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 def _chain(head: list, tail: Iterator) -> Iterator:
     yield from head
     yield from tail
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS_SQL = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+SQL = f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(len(w), {WINDOW}) AS n, unnest(list_transform(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {WINDOW - 1}], ' '))) AS g
+  FROM b WHERE len(w) > 0 AND item IS NOT NULL),
+d AS (SELECT doc_id, row_number() OVER () AS k, {_WORDS_SQL} AS w FROM documents),
+dw AS (SELECT k, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+h AS (SELECT k, dw.n, i, item FROM (SELECT k, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM dw) dw JOIN win ON dw.n = win.n AND dw.g = win.g),
+hit AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM h) GROUP BY k),
+found AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM h) GROUP BY k)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (k) LEFT JOIN found USING (k)
+"""

@@ -60,4 +60,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_mix, op3_lines, op4_warc, op5_secrets, op6_tokens, op7_pii, op8_decontaminate, op9_simhash, op10_quality)}
-SQL: dict[str, str] = {"op2_mix": mixing.SQL, "op3_lines": linededup.SQL, "op4_warc": warc.SQL}
+SQL: dict[str, str] = {"op2_mix": mixing.SQL, "op3_lines": linededup.SQL, "op4_warc": warc.SQL, "op5_secrets": secrets.SQL, "op8_decontaminate": decontaminate.SQL}

@@ -188,3 +188,20 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return find(docs, id_col, text_col).select(F.col("id").alias(id_col), *counts, base, S.joined(s).alias("spans"))
 
 
+
+
+_RE2 = {
+    "assign": (ASSIGN, f"length(regexp_extract(@, '{ASSIGN.replace(chr(39), chr(39) * 2)}', 2)) >= 8"),
+    "access": ("AKIA[A-Z0-9]+", "length(@) >= 16"),
+    "hex": ("[0-9a-f]{32,}", "true"),
+    "github": ("gh[pousr]_[A-Za-z0-9]{36,}", "true"),
+    "chat": ("xox[abprs]-[A-Za-z0-9-]{10,}", "true"),
+    "key": ("-----BEGIN (?:[A-Z]{2,10} ){0,2}PRIVATE KEY-----", "true"),
+}
+_LISTS = ", ".join(S.spans_sql("t", k, n, p, v) + f" AS s{n}" for n, (k, (p, v)) in enumerate(_RE2.items()))
+_JOIN = "array_to_string(list_transform({}, lambda s: s.kind || ':' || CAST(s.start AS BIGINT) || ':' || CAST(s.\"end\" AS BIGINT)), ',')"
+SQL = f"""
+WITH f AS (SELECT doc_id, {_LISTS} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+o AS (SELECT doc_id, s0, s1, s2, list_sort(s0 || s1 || s2) AS base, list_sort(s0 || s1 || s2 || s3 || s4 || s5) AS every FROM f)
+SELECT doc_id, len(s0) AS n_assign, len(s1) AS n_access, len(s2) AS n_hex, sha256({_JOIN.format("base")}) AS base_sha256, {_JOIN.format("every")} AS spans FROM o
+"""

@@ -90,3 +90,12 @@ def of_rank(spans_: Column, below: int) -> Column:
 
 def number(spans_: Column, kind: str) -> Column:
     return F.size(F.filter(spans_, lambda s: s["kind"] == kind)).cast("long")
+
+
+def spans_sql(text: str, kind: str, rank: int, pattern: str, valid: str) -> str:
+    """DuckDB SQL for the list of valid matches {start, rank, end, kind, text}; `valid` is a condition on m, `pattern` in RE2."""
+    quoted = pattern.replace("'", "''")
+    found, gaps = f"regexp_extract_all({text}, '{quoted}')", f"string_split_regex({text}, '{quoted}')"
+    steps = f"list_transform({found}, lambda m, i: length({gaps}[i]) + length(m))"
+    placed = f"list_transform({found}, lambda m, i: {{'start': list_sum({steps}[1:i]) - length(m), 'rank': {rank}, 'end': list_sum({steps}[1:i]), 'kind': '{kind}', 'text': m}})"
+    return f"list_filter({placed}, lambda s: {valid.replace('@', 's.text')})"
