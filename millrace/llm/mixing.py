@@ -69,14 +69,19 @@ def offset(key: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def _keys(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[str], seed: int, cells: int) -> DataFrame:
-    """`keep` as k0, k1, ... with id, source, size and the place in the order: src, class, place, cell."""
-    work = docs.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)], F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").alias("t"))
+def _hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _keys(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, cells: int) -> DataFrame:
+    """id, source, text hash and size of each row and its place in the order: src, class, place, cell. Written down; narrow."""
+    text = F.col(f"`{text_col}`")
+    work = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), _hash(text).alias("h"), text.alias("t"))
     factory = lambda: lambda batch: [pa.array(word_counts(batch.column(0)))]
-    sized = arrow_columns(work, factory, T.StructType([T.StructField("size", T.LongType())]), [f"k{i}" for i in range(len(keep))] + ["id", "source"], ["t"])
+    sized = arrow_columns(work, factory, T.StructType([T.StructField("size", T.LongType())]), ["id", "source", "h"], ["t"])
     place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     keyed = sized.withColumns({"src": source_key(F.col("source")), "class": size_class(F.col("size")), "place": place})
-    return keyed.withColumn("cell", F.pmod(F.conv(F.substring("place", 1, 4), 16, 10).cast("long"), F.lit(cells)))
+    return materialise(keyed.withColumn("cell", F.pmod(F.conv(F.substring("place", 1, 4), 16, 10).cast("long"), F.lit(cells))))
 
 
 def _copies(keyed: DataFrame, counted: DataFrame, weights, share, limit, seed) -> DataFrame:
@@ -95,18 +100,31 @@ def _counted(keyed: DataFrame) -> DataFrame:
     return materialise(keyed.groupBy("src", "source", "class", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
 
 
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share, limit, seed, cells) -> DataFrame:
+    keyed = _keys(docs, id_col, text_col, source_col, seed, cells)
+    return _copies(keyed, _counted(keyed), weights, share, limit, seed)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = SEED, cells: int = CELLS) -> DataFrame:
     """(id, source, size, source_size, target, copies, taken): one row per row of docs."""
-    keyed = materialise(_keys(docs, id_col, text_col, source_col, [], seed, cells))
-    out = _copies(keyed, _counted(keyed), weights, share, limit, seed)
+    out = _mixed(docs, id_col, text_col, source_col, weights, share, limit, seed, cells)
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = SEED, cells: int = CELLS) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs. Texts are shuffled once, to their cells."""
-    counted = _counted(_keys(docs, id_col, text_col, source_col, [], seed, cells))
-    out = _copies(_keys(docs, id_col, text_col, source_col, docs.columns, seed, cells), counted, weights, share, limit, seed).filter("copies > 0")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(docs.columns)])
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs.
+
+    Copies are joined to the rows by id, source and text hash, which shuffles texts once and doesn't pass them through
+    Python. Rows that agree in all three share their copies evenly, in turn.
+    """
+    name = lambda i, s, h: F.concat_ws(":", i.cast("string"), F.coalesce(i.isNull(), F.lit(True)).cast("string"), h.cast("string"), source_key(s))
+    out = _mixed(docs, id_col, text_col, source_col, weights, share, limit, seed, cells)
+    taken = out.groupBy(name(F.col("id"), F.col("source"), F.col("h")).alias("key")).agg(F.sum("copies").alias("total"), F.count("*").alias("rows")).filter("total > 0")
+    work = docs.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(docs.columns)], name(F.col(f"`{id_col}`"), F.col(f"`{source_col}`").cast("string"), _hash(F.col(f"`{text_col}`"))).alias("key"))
+    joined = work.join(taken, "key").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))).cast("long"))
+    copies = F.expr("nth * total DIV rows - (nth - 1) * total DIV rows").cast("int")
+    emitted = joined.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    return emitted.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(docs.columns)])
 
 
 SQL = f"""
