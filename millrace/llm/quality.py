@@ -8,8 +8,13 @@ continuation counts, discounts, probabilities and back-off weights as DataFrames
 a sorted array of n-gram numbers beside arrays of their values. Scoring tasks map those arrays to memory and look all
 n-grams of a text up by binary search; n-grams that the model lacks back off to shorter ones.
 
+Beside them stands a model of words and pairs of words (`millrace.llm.wordmodel`), which grows with the corpus and tells
+what five characters can't: words in senseless order, and words that the rest of the corpus doesn't use.
+
 A document's perplexity must lie in its language's band, which reaches `SPREAD` interquartile ranges of the logarithm
-beyond the quartiles of all documents of that language that pass the base rules. The mean over a short text scatters as
+beyond the quartiles of all documents of that language that pass the base rules. By words only a high perplexity counts,
+since words that other texts foretell well are those of near copies: `SPREAD` times twice the way from the median to the
+upper quartile above that. The mean over a short text scatters as
 one over the root of its length, so below `STEADY` words the band widens by that root. Base rules (words
 `[^\\x20\\x09-\\x0D]+`): 20 words at least, and at most 30 % of words in 8-word windows found twice or more.
 
@@ -30,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm import wordmodel
 from millrace.llm.common import SPACE, arrow_columns, filesystem, materialise, publish, shared_dir, slices, texts_of
 
 ORDER, SPREAD, STEADY, LEAST_WORDS, REPEATED, REPEAT_WINDOW = 5, 4.0, 100, 20, 30, 8
@@ -291,16 +297,31 @@ def repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-_BASE = T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField("logppl", T.DoubleType())])
+_BASE = T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField(c, T.DoubleType()) for c in ("logppl", "logword")])
 
 
-def measured(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
-    """(id, lang, the base measures, logppl: mean negative log probability of a symbol, null without symbols or model)."""
+def measured(docs: DataFrame, model: str, words: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
+    """(id, lang, the base measures, logppl and logword: mean negative log probability of a symbol and of a word, null
+    without symbols, words or model)."""
     work = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"), F.col(f"`{text_col}`").alias("t"))
 
     def factory():
         table = _symbol_table()
         models: dict[str, Model] = {}
+        coder, lexicons = wordmodel.Coder(), {}
+
+        def word_loss(batch):
+            out = np.full(batch.num_rows, np.nan)
+            at = 0
+            for part in slices(batch, wordmodel.STEP):
+                for lang in pc.unique(part.column(1)).to_pylist():
+                    same = pc.equal(part.column(1), lang)
+                    x = coder(part.column(0).filter(same))
+                    m = lexicons.get(lang) or lexicons.setdefault(lang, wordmodel.Model(words, lang))
+                    if len(x.texts):
+                        out[at + np.flatnonzero(same.to_numpy(zero_copy_only=False))[x.texts]] = m.loss(x)
+                at += part.num_rows
+            return out
 
         def kernel(batch):
             data = texts_of(batch.column(0))
@@ -324,7 +345,8 @@ def measured(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str
                 ends = np.cumsum(n)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     loss[ks] = -(total[ends] - total[ends - n]) / n
-            return [*(pa.array(cols[:, k]) for k in range(5)), pa.array(loss, mask=np.isnan(loss))]
+            by_word = word_loss(batch)
+            return [*(pa.array(cols[:, k]) for k in range(5)), *(pa.array(x, mask=np.isnan(x)) for x in (loss, by_word))]
 
         return kernel
 
@@ -336,11 +358,11 @@ def base_failed() -> Column:
 
 
 def bands(rows: DataFrame, spread: float = SPREAD) -> DataFrame:
-    """(lang, q1, q3, reach) on logppl."""
-    q = F.percentile_approx("logppl", F.array(F.lit(0.25), F.lit(0.75)), 10_000)
-    t = rows.filter(~base_failed() & F.col("logppl").isNotNull()).groupBy("lang").agg(q.alias("q"))
-    reach = (F.col("q")[1] - F.col("q")[0]) * spread
-    return t.select("lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), reach.alias("reach"))
+    """(lang, q1, q3, reach) on logppl and (w_q3, w_reach) on logword."""
+    q = lambda c: F.percentile_approx(c, F.array(*map(F.lit, (0.25, 0.5, 0.75))), 10_000).alias(c)
+    t = rows.filter(~base_failed()).groupBy("lang").agg(q("logppl"), q("logword"))
+    (q1, _, q3), (_, w2, w3) = ([F.col(c)[k] for k in range(3)] for c in ("logppl", "logword"))
+    return t.select("lang", q1.alias("q1"), q3.alias("q3"), ((q3 - q1) * spread).alias("reach"), w3.alias("w_q3"), ((w3 - w2) * 2 * spread).alias("w_reach"))
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> str:
@@ -350,13 +372,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order
     return path
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: str | None = None, spread: float = SPREAD) -> DataFrame:
-    """One row per row of docs: id, the base measures, perplexity, its band, base_failed and kept."""
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: str | None = None, spread: float = SPREAD, words: str | None = None) -> DataFrame:
+    """One row per row of docs: id, the base measures, base_failed, kept, and both perplexities with their limits."""
     model = model or train(docs, text_col, lang_col)
-    rows = materialise(measured(docs, model, id_col, text_col, lang_col))
+    words = words or wordmodel.train(docs, text_col, lang_col)
+    rows = materialise(measured(docs, model, words, id_col, text_col, lang_col))
     out = rows.join(bands(rows, spread), "lang", "left").withColumn("base_failed", base_failed())
-    wide = F.col("reach") * F.sqrt(F.greatest(F.lit(1.0), F.lit(float(STEADY)) / F.greatest("n_words", F.lit(1))))
-    out = out.withColumn("low", F.col("q1") - wide).withColumn("high", F.col("q3") + wide)
-    inside = F.coalesce(F.col("logppl").between(F.col("low"), F.col("high")), F.lit(True))
+    widen = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(STEADY)) / F.greatest("n_words", F.lit(1))))
+    reach, by_word = F.col("reach") * widen, F.col("w_reach") * widen
+    out = out.withColumn("low", F.col("q1") - reach).withColumn("high", F.col("q3") + reach).withColumn("w_high", F.col("w_q3") + by_word)
+    inside = F.coalesce(F.col("logppl").between(F.col("low"), F.col("high")), F.lit(True)) & F.coalesce(F.col("logword") <= F.col("w_high"), F.lit(True))
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return out.select(F.col("id").alias(id_col), *measures, "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.exp("logppl").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"))
+    found = [F.exp(c).alias(name) for c, name in (("logppl", "perplexity"), ("low", "low"), ("high", "high"), ("logword", "word_perplexity"), ("w_high", "word_high"))]
+    return out.select(F.col("id").alias(id_col), *measures, "base_failed", (~F.col("base_failed") & inside).alias("kept"), *found)

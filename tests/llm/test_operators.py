@@ -424,3 +424,53 @@ def test_ngrams_by_text():
     one = [quality.ngrams([t], table_)[0].tolist() for t in ("abc", "", "d e f")]
     codes, n = quality.ngrams(["abc", "", "d e f"], table_)
     assert n.tolist() == [3, 0, 5] and codes.tolist() == one[0] + one[1] + one[2]
+
+
+def sense(seed, n=80):
+    """Sentences whose words follow each other by rule and look alike where they meet, so that letters don't show it."""
+    import random
+
+    r, out = random.Random(seed), []
+    while len(out) < n:
+        k = r.randrange(18)
+        out += [f"inter{'abcdefghijklmnopqr'[(k + r.randrange(2)) % 18]}{c}ation" for c in "xyz"]
+    return out[:n]
+
+
+def shuffled(seed):
+    import random
+
+    w = sense(seed)
+    random.Random(seed).shuffle(w)
+    return w
+
+
+def test_quality_word_salad(spark):
+    docs = [(k, " ".join(sense(k)), "en", None) for k in range(300)]
+    salad = [(1000 + k, " ".join(shuffled(500 + k // 3)), "en", None) for k in range(9)]  # each three times: copies mustn't vouch for a text
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(docs + salad, cases.SCHEMA)).collect()}
+    assert not any(got[k].kept for k, *_ in salad)
+    assert sum(got[k].kept for k, *_ in docs) >= 297
+
+
+def test_word_model_counts(spark):
+    """Losses by brute force: what all other texts say."""
+    from millrace.llm import wordmodel
+    import pyarrow as pa
+
+    texts = ["the cat sat on the mat", "The cat, the DOG", "the cat, the dog", "a b a b", None, "...", "日本 日 x日", "the cat sat"]
+    path = wordmodel.train(spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id int, text string, lang string").repartition(3))
+    lines = {k: re.findall(r"[　-鿿]|[a-z]+", (t or "").lower()) for k, t in enumerate(texts)}
+    lines = {k: w for k, w in lines.items() if w}
+    one, two = (Counter(g for w in lines.values() for g in f(w)) for f in (lambda w: [*w, ""], lambda w: list(zip(["", *w], [*w, ""], strict=True))))
+    once, want = sum(v == 1 for v in one.values()), []
+    for k, w in lines.items():
+        m = sum(" ".join(x) == " ".join(w) for x in lines.values())
+        own, pairs, total = Counter([*w, ""]), Counter(zip(["", *w], [*w, ""], strict=True)), sum(one.values())
+        loss = 0.0
+        for a, b in zip(["", *w], [*w, ""], strict=True):
+            p = (one[b] - m * own[b] + once / len(one)) / (total - m * (len(w) + 1) + once)
+            loss -= np.log((two[a, b] - m * pairs[a, b] + wordmodel.MU * p) / (one[a] - m * own[a] + wordmodel.MU))
+        want.append(loss / (len(w) + 1))
+    x = wordmodel.Coder()(pa.array(texts))
+    assert x.texts.tolist() == list(lines) and wordmodel.Model(path, "en").loss(x) == pytest.approx(want)
