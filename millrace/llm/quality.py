@@ -12,9 +12,11 @@ Beside them stands a model of words and pairs of words (`millrace.llm.wordmodel`
 what five characters can't: words in senseless order, and words that the rest of the corpus doesn't use.
 
 A document's perplexity must lie in its language's band, which reaches `SPREAD` interquartile ranges of the logarithm
-beyond the quartiles of all documents of that language that pass the base rules. By words only a high perplexity counts,
+beyond the quartiles of all distinct texts of that language that pass the base rules; copies weigh as one text, and a
+range counts as `FLOOR` at least. The character model counts copies each, so a text with very many copies can fall below
+its band. By words only a high perplexity counts,
 since words that other texts foretell well are those of near copies: `SPREAD` times twice the way from the median to the
-upper quartile above that. The mean over a short text scatters as
+upper quartile (`WORD_FLOOR` at least) above that. The mean over a short text scatters as
 one over the root of its length, so below `STEADY` words the band widens by that root. Base rules (words
 `[^\\x20\\x09-\\x0D]+`): 20 words at least, and at most 30 % of words in 8-word windows found twice or more.
 
@@ -38,7 +40,9 @@ from pyspark.sql import types as T
 from millrace.llm import wordmodel
 from millrace.llm.common import SPACE, arrow_columns, filesystem, materialise, publish, shared_dir, slices, texts_of
 
-ORDER, SPREAD, STEADY, LEAST_WORDS, REPEATED, REPEAT_WINDOW = 5, 4.0, 100, 20, 30, 8
+ORDER, SPREAD, STEADY, LEAST_WORDS, REPEATED, REPEAT_WINDOW = 5, 3.0, 100, 20, 30, 8
+#: Least spread of log perplexities that a band is made from, by symbols and by words.
+FLOOR, WORD_FLOOR = 0.02, 0.1
 _PAD, _BITS = 63, 6
 #: Distinct n-grams that a counting task holds before it hands them on.
 HELD = 1 << 21
@@ -301,9 +305,10 @@ _BASE = T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "word_
 
 
 def measured(docs: DataFrame, model: str, words: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
-    """(id, lang, the base measures, logppl and logword: mean negative log probability of a symbol and of a word, null
+    """(id, lang, h1 and h2: hashes of the text, the base measures, logppl and logword: mean negative log probability of a symbol and of a word, null
     without symbols, words or model)."""
     work = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"), F.col(f"`{text_col}`").alias("t"))
+    work = work.withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64("t", F.lit(1))})
 
     def factory():
         table = _symbol_table()
@@ -350,7 +355,7 @@ def measured(docs: DataFrame, model: str, words: str, id_col: str = "doc_id", te
 
         return kernel
 
-    return arrow_columns(work, factory, _BASE, ["id", "lang"], ["t", "lang"])
+    return arrow_columns(work, factory, _BASE, ["id", "lang", "h1", "h2"], ["t", "lang"])
 
 
 def base_failed() -> Column:
@@ -358,11 +363,11 @@ def base_failed() -> Column:
 
 
 def bands(rows: DataFrame, spread: float = SPREAD) -> DataFrame:
-    """(lang, q1, q3, reach) on logppl and (w_q3, w_reach) on logword."""
+    """(lang, q1, q3, reach) on logppl and (w_q3, w_reach) on logword, over distinct texts."""
     q = lambda c: F.percentile_approx(c, F.array(*map(F.lit, (0.25, 0.5, 0.75))), 10_000).alias(c)
-    t = rows.filter(~base_failed()).groupBy("lang").agg(q("logppl"), q("logword"))
+    t = rows.filter(~base_failed()).dropDuplicates(["lang", "h1", "h2"]).groupBy("lang").agg(q("logppl"), q("logword"))
     (q1, _, q3), (_, w2, w3) = ([F.col(c)[k] for k in range(3)] for c in ("logppl", "logword"))
-    return t.select("lang", q1.alias("q1"), q3.alias("q3"), ((q3 - q1) * spread).alias("reach"), w3.alias("w_q3"), ((w3 - w2) * 2 * spread).alias("w_reach"))
+    return t.select("lang", q1.alias("q1"), q3.alias("q3"), (F.greatest(q3 - q1, F.lit(FLOOR)) * spread).alias("reach"), w3.alias("w_q3"), (F.greatest((w3 - w2) * 2, F.lit(WORD_FLOOR)) * spread).alias("w_reach"))
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> str:

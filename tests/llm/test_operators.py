@@ -474,3 +474,16 @@ def test_word_model_counts(spark):
         want.append(loss / (len(w) + 1))
     x = wordmodel.Coder()(pa.array(texts))
     assert x.texts.tolist() == list(lines) and wordmodel.Model(path, "en").loss(x) == pytest.approx(want)
+
+
+def test_quality_copies_and_junk(spark):
+    """A third or more of all rows copies of one text: other clean texts stay, planted junk goes."""
+    r = np.random.default_rng(3)
+    clean = [(k, cases.prose(1000 + k, 60 + k % 50), "en", None) for k in range(240)]
+    copies = [(1000 + k, cases.prose(7, 80), "en", None) for k in range(480)]
+    spoilt = [" ".join("".join(r.permutation(list(w))) if r.random() < 0.5 else w for w in cases.prose(2000 + k, 90).split()) for k in range(12)]
+    junk = [(3000 + k, t, "en", None) for k, t in enumerate(spoilt)]
+    for some in (120, 480):
+        got = {x.doc_id: x.kept for x in quality.quality(spark.createDataFrame(clean + copies[:some] + junk, cases.SCHEMA)).collect()}
+        assert sum(got[k] for k, *_ in clean) >= 238
+        assert not any(got[k] for k, *_ in junk)
