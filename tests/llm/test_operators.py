@@ -250,6 +250,15 @@ def test_added_spans(spark):
     assert sorted(r.spans for r in secrets.report(df).collect()) == ["github:2:42", "key:0:31"]
 
 
+def test_iban_before_words(spark):
+    iban = "DE89 3704 0044 0532 0130 00"
+    after = [" Bitte", " OR", " 5 days", " A", ".", " 12345678", " GB82 WEST 1234 5698 7654 32"]
+    df = spark.createDataFrame([(k, iban + x, None, None) for k, x in enumerate(after)] + [(9, iban.replace(" ", "") + " Bitte", None, None), (10, iban + "7", None, None)], cases.SCHEMA)
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("iban")] for r in pii.report(df).collect()}
+    assert got == {k: ["iban:0:27"] for k in range(6)} | {6: ["iban:0:27", "iban:28:55"], 9: ["iban:0:22"], 10: []}
+    assert {r.doc_id: r.text for r in pii.redact(df.filter("doc_id = 0")).collect()} == {0: "<iban> Bitte"}
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{32,}") is None
     assert secrets.trigram_query("abcd|xyz+") is None or secrets.trigram_query("abcd") == [frozenset({"abc", "bcd"})]
