@@ -1,6 +1,7 @@
 """A training corpus from `documents`, in five stages of millrace.llm: each is written as Parquet and read by the next.
 
-Language ID drops documents without a language (und, or a score below `LEAST_SCORE`); SimHash near-dedup keeps one
+Language ID drops documents without a language (und, a score below `LEAST_SCORE`, or less in
+common with the training sample than its own texts have: other languages and scripts, letters at random); SimHash near-dedup keeps one
 document of each group; decontamination drops documents that hold a benchmark passage; mixing repeats and leaves out
 documents so that sources reach their targets; the last stage writes token files and reads them back.
 
@@ -19,7 +20,8 @@ from millrace.llm import decontaminate, langid, mixing, simhash, tokens
 from millrace.llm.common import materialise, table
 from millrace.llm.queries import tokenizer_path
 
-#: A score of 0.5 means that no language stands out from the others; clean short texts come near it.
+#: A score of 0.5 means that no language stands out from the others; clean short texts come near it. Texts unlike all
+#: languages come near it too, so `langid.foreign` tells those.
 LEAST_SCORE = 0.25
 
 
@@ -36,7 +38,7 @@ def _back(df: DataFrame, names: dict[str, str]) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.Classifier(langid.training_rows(docs))
     work, names = _aside(docs)
-    found = langid.identify(work, model, names["text"])
+    found = langid.identify(langid.foreign(work, model, names["text"]).filter(~F.col("foreign")), model, names["text"])
     return _back(found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), names)
 
 

@@ -37,6 +37,8 @@ from millrace.llm.common import arrow_columns
 ORDER, ALPHABET, LANDMARKS, LANDMARK_CHARS, FEATURES, PER_CLASS, CLASSES, RIDGE = 3, 94, 128, 6000, 24576, 300, 100, 1e-3
 #: Texts in one matrix product, and characters taken at a time from a long text.
 BATCH, STRIDE = 64, 1 << 20
+#: Texts with so many letters or more tell how much is known of a learned language; at least FEW of them; the fence below their lower quartile.
+STEADY, FEW, FENCE, LEAST_RANGE = 200, 20, 3.0, 0.02
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -87,6 +89,18 @@ class Kernel:
         return p
 
 
+    def known(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many `ORDER`-grams around a letter each text has, and the share of them that landmarks have."""
+        n, hit = np.zeros(len(texts)), np.zeros(len(texts))
+        for k, t in enumerate(texts):
+            for at in range(0, max(len(t), 1), STRIDE):
+                keys = self.keys(" " * (at == 0) + t[max(at - 1, 0) : at + STRIDE + self.order - 2] + " " * (at + STRIDE >= len(t)))
+                inner = keys[0][1 : len(keys[-1]) + 1] > 0
+                n[k] += inner.sum()
+                hit[k] += (self.columns[-1][keys[-1][inner]] > 0).sum()
+        return n, hit / np.maximum(n, 1)
+
+
 class Classifier:
     def __init__(self, rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE):
         """rows: (text, language), whose order decides which become landmarks."""
@@ -110,6 +124,27 @@ class Classifier:
         weight = np.array([1.0 / n[y] for _, y in rows])[:, None]
         beta = np.linalg.solve(found.T @ (found * weight) + ridge * np.eye(found.shape[1]), found.T @ (goal * weight))
         self.weights = (nystrom @ beta).astype(np.float32)
+        # What texts of the learned languages share with the landmarks, by texts that aren't landmarks themselves.
+        marked = set(chosen)
+        others = [t for t, _ in rows if t not in marked]
+        n, share = self.kernel.known(others)
+        share = share[n >= STEADY]
+        if len(share) < FEW:
+            # Small samples: half of the texts against the others, which share less than with all.
+            texts = list(dict.fromkeys(t for t, _ in rows))
+            n, share = Kernel(texts[::2]).known(texts[1::2])
+            share = share[n >= STEADY]
+        q1, q3 = np.quantile(share, [0.25, 0.75]) if len(share) >= FEW else (1.0, 1.0)
+        self.least_known = float(q1 - FENCE * max(q3 - q1, LEAST_RANGE)) if len(share) >= FEW else 0.0
+
+    def foreign(self, texts: list[str | None]) -> list[bool]:
+        """Whether a text shares less with the landmarks than texts of the learned languages do: an unknown language or script, or letters at random."""
+        if not self.languages:
+            return [False] * len(texts)
+        n, share = self.kernel.known([t or "" for t in texts])
+        # Short texts scatter.
+        scatter = FENCE * np.sqrt(self.least_known * (1 - self.least_known) / np.maximum(n, 1))
+        return ((n > 0) & (share < self.least_known - scatter)).tolist()
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score in [0, 1] of each text."""
@@ -164,3 +199,12 @@ def identify(docs: DataFrame, model: Classifier, text_col: str = "text", keep: l
         return kernel
 
     return arrow_columns(docs, factory, _OUT, docs.columns if keep is None else keep, [text_col])
+
+
+def foreign(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
+    """docs with the column `foreign`: texts unlike all learned languages; narrow."""
+
+    def factory():
+        return lambda batch: [pa.array(model.foreign(batch.column(0).to_pylist()), pa.bool_())]
+
+    return arrow_columns(docs, factory, T.StructType([T.StructField("foreign", T.BooleanType())]), docs.columns, [text_col])

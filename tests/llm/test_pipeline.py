@@ -77,3 +77,19 @@ def test_registered():
     assert "pipeline" in e.queries()
     for n in range(1, 11):
         assert sum(q.startswith(f"op{n}_") for q in queries.QUERIES) == 1
+
+
+def test_unknown_languages_go(spark, sf_dir):
+    import random
+
+    r = random.Random(1)
+    texts = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+        " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(60)),
+    ]
+    docs = table(spark, sf_dir, "documents")
+    planted = spark.createDataFrame([(10**6 + k, t, None, "a", len(t)) for k, t in enumerate(texts)], docs.schema)
+    kept = {x.doc_id for x in c.language(spark, docs.unionByName(planted), sf_dir).collect()}
+    assert not any(k >= 10**6 for k in kept) and len(kept) > 0.98 * docs.count()
