@@ -7,9 +7,9 @@ integer). Where a part begins in the whole follows from a prefix sum over the pa
 memory and touch only the pages they need.
 
 Texts are range-partitioned by id first and encoded where they are written, so that texts move once and ids never.
-The tokenizer's own words (a blank and what follows up to the next blank) are encoded once and remembered, up to
-`REMEMBER` words in a task; the tokenizer is a byte-level BPE that never joins text across such a place, and texts with
-longer runs of white space are cut only where that holds.
+The tokenizer's own words (a blank and what follows up to the next blank) are encoded once and remembered in the Python
+worker, whose later tasks find them (`Encoder`); the tokenizer is a byte-level BPE that never joins text across such a
+place, and texts with longer runs of white space are cut only where that holds.
 
 Defined results: null and empty texts hold the end id alone; null document ids come first; rows with equal ids stay
 next to each other, ordered by text; an empty table gives an empty store; columns besides id and text are ignored.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from pyspark.sql import types as T
 from millrace.llm.common import filesystem, materialise, publish, shared_dir, slices
 
 END_ID = 2
-REMEMBER = 400_000
+#: Words in each generation of an encoder's memory, words that the model takes at once, and bytes of text at a time.
+REMEMBER, JOINED, STEP = 500_000, 128, 4 << 20
 _NULL = -(1 << 63)
 #: White space as the tokenizer's pattern takes it (Unicode White_Space).
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -39,48 +41,133 @@ _UNSURE = re.compile(f"[{_WS}] (?:[{_WS}]|\\Z)")
 _CUT = re.compile(f"(?<=[^{_WS}]) | (?=[^{_WS}])")
 
 
+#: Characters of words whose pieces follow from their classes: letters, digits, ASCII marks but the apostrophe, and line
+#: ends that stand alone inside a word.
+_SIMPLE = re.compile(r"(?:[A-Za-z0-9À-ÖØ-öø-ɏА-яё一-鿿!-&(-/:-@\[-`{-~]|(?<=[^\n])\n(?=[^\n]))+")
+
+
+def _byte_letters() -> np.ndarray:
+    """The code point by which a byte-level vocabulary writes each byte."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = np.zeros(256, np.uint16)
+    out[kept] = kept
+    rest = [b for b in range(256) if b not in set(kept)]
+    out[rest] = np.arange(256, 256 + len(rest))
+    return out
+
+
+_LETTERS = _byte_letters()
+
+
+def _mapped(text: str) -> str:
+    return _LETTERS[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
+
+
+def _harmless(token: str, byte_of: dict[str, int]) -> bool:
+    """Whether a token can't span two classes of characters of simple words: it is letters, digits, marks or white space
+    only, after one blank at most, or holds a character that simple words don't."""
+    data = bytes(byte_of.get(c, 0) for c in token)
+    kinds = {"l" if b >= 128 or chr(b).isalpha() else "d" if 48 <= b < 58 else "s" if b <= 32 else "m" for b in data[data[0] == 32 :]}
+    if len(kinds) <= 1 and not (data[0] == 32 and kinds == {"s"} and data.strip(b" ")):
+        return True
+    try:
+        return any(not _SIMPLE.fullmatch(c) for c in data.decode().replace(" ", "").replace("\n", ""))
+    except UnicodeDecodeError:
+        return False
+
+
 class Encoder:
-    """Encodes texts to bytes of ids, with a memory of words where the tokenizer is a plain byte-level BPE."""
+    """Encodes texts to bytes of ids, with a memory of words where the tokenizer is a plain byte-level BPE.
+
+    Words that no memory holds are encoded many at a time: as long as no token of the vocabulary spans two classes of
+    characters (letters, digits, marks), merges never cross the places where the tokenizer would cut simple words, so
+    the model takes them joined and unsplit, and tokens that begin with a blank tell where words begin. Other words go
+    through the tokenizer's own cuts one by one. Memory has two generations of `remember` words each: the older one is
+    let go when the younger one is full, and words that are met again move to the younger one.
+    """
 
     def __init__(self, path: str, remember: int = REMEMBER):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         told = json.loads(self.tokenizer.to_str())
-        before = told.get("pre_tokenizer") or {}
-        self.by_word = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not told.get("normalizer") and told["model"]["type"] == "BPE"
+        before, model = told.get("pre_tokenizer") or {}, told["model"]
+        self.by_word = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not told.get("normalizer") and model["type"] == "BPE"
         self.added = [x["content"] for x in told.get("added_tokens", [])]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.remember = remember
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.joined = False
+        if self.by_word and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            byte_of = {chr(c): b for b, c in enumerate(_LETTERS.tolist())}
+            vocab = {k: v for k, v in model["vocab"].items() if k not in self.added}
+            self.joined = all(_harmless(k, byte_of) for k in vocab) and all(chr(c) in vocab for c in _LETTERS.tolist())
+            self.begins = np.zeros(max(vocab.values(), default=0) + 1, bool)
+            self.begins[[v for k, v in vocab.items() if k[0] == chr(_LETTERS[32])]] = True
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, known: dict[str, bytes], words: list[str], lead: str) -> None:
-        if len(known) > self.remember:
-            known.clear()
-        cut, bpe = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
+    def _word(self, word: str) -> bytes:
+        if any(x in word for x in self.added):
+            return self._whole(word)
+        bpe = self.tokenizer.model.tokenize
+        return np.array([t.id for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(word) for t in bpe(piece)], self.kind).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Remembers words that follow a blank."""
+        simple = [w for w in words if _SIMPLE.fullmatch(w)] if self.joined else []
+        size, bpe = self.kind.itemsize, self.tokenizer.model.tokenize
+        for at in range(0, len(simple), JOINED):
+            some = simple[at : at + JOINED]
+            text = " " + " ".join(some)
+            if any(x in text for x in self.added):
+                continue
+            ids = np.array([t.id for t in bpe(_mapped(text))], np.int64)
+            cuts = (np.append(np.flatnonzero(self.begins[ids]), len(ids)) * size).tolist()
+            data = ids.astype(self.kind).tobytes()
+            self.later.update(zip(some, [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
         for w in words:
-            if w not in known:
-                if any(x in w for x in self.added):
-                    known[w] = self._whole(lead + w)
-                else:
-                    known[w] = np.array([t.id for piece, _ in cut(lead + w) for t in bpe(piece)], self.kind).tobytes()
+            if w not in self.later:
+                self.later[w] = self._word(" " + w)
 
-    def encode(self, text: str) -> bytes:
+    def encode_all(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
-            return self._whole(text)
-        words = _CUT.split(text) if _UNSURE.search(text) else text.split(" ")
-        head, rest = words[:1], words[1:]
-        if head[0] not in self.first:
-            self._learn(self.first, head, "")
-        try:
-            return self.first[head[0]] + b"".join(map(self.later.__getitem__, rest))
-        except KeyError:
-            self._learn(self.later, rest, " ")
-            return self.first[head[0]] + b"".join(map(self.later.__getitem__, rest))
+            return [self._whole(t) for t in texts]
+        if len(self.later) > self.remember:
+            self.older, self.later = self.later, {}
+        if len(self.first) > self.remember:
+            self.first = {}
+        cut = [_CUT.split(t) if _UNSURE.search(t) else t.split(" ") for t in texts]
+        ends = np.cumsum([len(words) - 1 for words in cut]).tolist()
+        heads = [words[0] for words in cut]
+        for words in cut:
+            del words[0]
+        self.first.update((w, self._word(w)) for w in set(heads).difference(self.first))
+        flat = list(chain.from_iterable(cut))
+        coded = list(map(self.later.get, flat))
+        missing = [k for k, c in enumerate(coded) if c is None]
+        new = {flat[k] for k in missing}
+        self.later.update((w, self.older[w]) for w in new.intersection(self.older))
+        self._learn(list(new.difference(self.older)))
+        for k in missing:
+            coded[k] = self.later[flat[k]]
+        return [b"".join([self.first[h], *coded[a:b]]) for h, a, b in zip(heads, [0, *ends], ends, strict=False)]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+
+_KEPT: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for each tokenizer in a Python worker; later tasks of the worker find its memory."""
+    if path not in _KEPT:
+        _KEPT[path] = Encoder(path)
+    return _KEPT[path]
 
 
 _PARTS = T.StructType([T.StructField("part", T.LongType()), T.StructField("docs", T.LongType()), T.StructField("ids", T.LongType()), T.StructField("width", T.IntegerType())])
@@ -96,17 +183,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = Encoder(tokenizer)
-        end = np.array([end_id], encoder.kind).tobytes()
+        coder = encoder(tokenizer)
+        end = np.array([end_id], coder.kind).tobytes()
         fs, root = filesystem(path)
         lengths: list[np.ndarray] = []
         ids: list[np.ndarray] = []
 
         def fill(out):
             for whole in batches:
-                for batch in slices(whole):
-                    coded = [encoder.encode(t or "") + end for t in batch.column(1).to_pylist()]
-                    lengths.append(np.array([len(c) // encoder.kind.itemsize for c in coded], np.int64))
+                for batch in slices(whole, STEP):
+                    coded = [c + end for c in coder.encode_all(batch.column(1).fill_null("").to_pylist())]
+                    lengths.append(np.array([len(c) // coder.kind.itemsize for c in coded], np.int64))
                     ids.append(batch.column(0).fill_null(_NULL).to_numpy(zero_copy_only=False).astype("<i8"))
                     out.write(b"".join(coded))
 
@@ -114,7 +201,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         n = np.concatenate([np.zeros(1, np.int64), *lengths]).cumsum()
         publish(fs, f"{root}/{part:06d}.off", lambda out: out.write(n.astype("<u8").tobytes()))
         publish(fs, f"{root}/{part:06d}.ids", lambda out: out.write(np.concatenate([np.zeros(0, "<i8"), *ids]).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([len(n) - 1], pa.int64()), pa.array([int(n[-1])], pa.int64()), pa.array([encoder.kind.itemsize], pa.int32())], names=[f.name for f in _PARTS])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([len(n) - 1], pa.int64()), pa.array([int(n[-1])], pa.int64()), pa.array([coder.kind.itemsize], pa.int32())], names=[f.name for f in _PARTS])
 
     # The rows of the parts are written before anything reads them, so each part is encoded once.
     parts = materialise(ordered.mapInArrow(run, _PARTS))

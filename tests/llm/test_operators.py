@@ -302,6 +302,21 @@ def test_encoder_cuts():
         assert np.frombuffer(e.encode(x), "<u2").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_encoder_joins_words():
+    """Words taken by the model many at a time, in slices, with a memory that turns over, against the tokenizer itself."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    t, e, r = Tokenizer.from_file(queries.tokenizer_path()), tokens.Encoder(queries.tokenizer_path(), remember=300), random.Random(4)
+    assert e.joined
+    bits = ["ab", "The", "ü", "é", "ция", "日", "本", "12", "9", ".", ",", "'s", "'", "—", "…", "###", "$", "\n", "\n\n", "<|endoftext|>", "½", "²", "\u200b", "あ、", "_", "x" * 40]
+    for _ in range(40):
+        texts = [" ".join("".join(r.choice(bits) for _ in range(r.randint(1, 5))) for _ in range(r.randint(0, 12))) for _ in range(60)]
+        for x, got in zip(texts, e.encode_all(texts), strict=True):
+            assert np.frombuffer(got, "<u2").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 # --- 8
 
 
