@@ -151,26 +151,70 @@ def brute_lines(rows):
     lines = []
     for i, t in {(i, t or "") for i, t, *_ in rows}:
         for k, line in enumerate(t.split("\n")):
-            w = WORD.findall(line.lower())
-            if w:
-                lines.append(((i is not None, i if i is not None else 0), t, k, frozenset(" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4)))))
+            if w := WORD.findall(line.lower()):
+                lines.append(((i is not None, i if i is not None else 0), t, k, frozenset(w)))
     return lines
 
 
+def near_lines(n):
+    """Documents with lines that repeat, repeat in another order, and differ by a word or two."""
+    one, two = cases.prose(1, 30).split(), [f"v{k}" for k in range(10)]
+    other = lambda k: " ".join(w if j != k % 10 else f"w{k}" for j, w in enumerate(two))
+    return [(k, "\n".join([" ".join(one), cases.prose(k, 25), " ".join(one[::-1]) + f" w{k}", "short", other(k), "  Two\twords ", "", " ".join(two[: 8 + k % 3])]), "en", "a") for k in range(n)]
+
+
 def test_lines(spark, docs):
-    base = [(k, "\n".join([cases.prose(1, 30), cases.prose(k, 25), cases.prose(1, 29) + f" w{k}", "short", ""]), "en", "a") for k in range(12)]
-    df = spark.createDataFrame(base + cases.rows(), cases.SCHEMA)
-    got = linededup.resolve(df).collect()
+    df = spark.createDataFrame(near_lines(12) + cases.rows(), cases.SCHEMA)
+    got = linededup.resolve(df.repartition(3)).collect()
     h = {(r.doc_id, r.text or ""): r.h for r in df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
-    lines = sorted(((i, h[(None if not i[0] else i[1], t)], k, x, t) for i, t, k, x in brute_lines(df.select("doc_id", "text").collect())), key=lambda r: r[:3])
-    kept = defaultdict(list)
-    for n, (i, hh, k, x, _) in enumerate(lines):
-        if not any(5 * len(x & y) >= 4 * len(x | y) for *_, y, _ in lines[:n]):
-            kept[(i[1] if i[0] else None, hh)].append(k)
-    assert {(r.id, r.h): r.kept for r in got if r.kept} == dict(kept)
+    lines = sorted(((i, h[(None if not i[0] else i[1], t)], k, x) for i, t, k, x in brute_lines(df.select("doc_id", "text").collect())), key=lambda r: r[:3])
+    first, members = {}, Counter()
+    for i, hh, k, x in lines:
+        first.setdefault(x, (i, hh, k))
+    # Repeated rows count as copies.
+    members.update(frozenset(w) for r in df.collect() for x in (r.text or "").split("\n") if (w := WORD.findall(x.lower())))
+    links = {x: [y for y in first if y != x and 5 * len(x & y) >= 4 * len(x | y)] for x in first}
+    assert sum(map(len, links.values())) > 20
+    want = defaultdict(list)
+    for i, hh, k, x in lines:
+        kept = (i, hh, k) == first[x] and not any(first[y] < first[x] for y in links[x])
+        told = members[x] > 1 or links[x]
+        want[(i[1] if i[0] else None, hh)].append((k, kept, len(links[x]), first[x][0][1] if told and first[x][0][0] else None, first[x][2] if told else None))
+    assert {(r.id, r.h): [tuple(x) for x in r.lines] for r in got} == dict(want)
     out = linededup.cleaned(df)
     assert out.columns == df.columns and out.count() == df.count()
-    assert linededup.cleaned(docs).columns == docs.columns
+    clean = linededup.cleaned(docs)
+    assert clean.columns == docs.columns and bag((r.doc_id, r.lang, r.source) for r in clean.collect()) == bag((r.doc_id, r.lang, r.source) for r in docs.collect())
+    by = {(i, t): [k for k, kept, *_ in want.get((i, h[(i, t)]), []) if kept] for i, t in h}
+    seen = set()
+    for r in sorted(listed(out), key=lambda r: -len(r[1] or "")):
+        full = [t for i, t in h if i == r[0]]
+        texts = {"\n".join(x for k, x in enumerate(t.split("\n")) if k in by[(r[0], t)] or not WORD.search(x)) for t in full}
+        bare = {"\n".join(x for x in t.split("\n") if not WORD.search(x)) for t in full}
+        assert (r[1] or "") in (texts | bare)
+        seen.add((r[0], r[1] or ""))
+    assert all(any((i, "\n".join(x for k, x in enumerate(t.split("\n")) if k in ks or not WORD.search(x))) == s for s in seen) for (i, t), ks in by.items())
+    rows = linededup.report(df).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in df.collect())
+    for r in rows:
+        if r.doc_id == 7:
+            assert r.n_lines == 1 and r.n_removed == 1 and r.line_classes == "0:6:0:0"
+
+
+def test_lines_places(spark):
+    """Frequent tokens have exact places, and hot lines meet their class in parts, to the same result."""
+    rows = [(k, "the same line of all\n" + cases.prose(k % 9, 12), "en", "a") for k in range(300)]
+    df = spark.createDataFrame(rows, cases.SCHEMA)
+    lines = linededup._lines(df, "doc_id", "text").select("line").distinct()
+    slots = [x for x in linededup._table(lines) if x]
+    n = Counter(w for (line,) in lines.collect() for w in line.split(" "))
+    token = {r.w: r.t for r in spark.createDataFrame([(w,) for w in n], "w string").select("w", linededup._token(F.col("w")).alias("t")).collect()}
+    assert {x & linededup._MASK for x in slots} == {token[w] for w, c in n.items() if c >= linededup.LEAST_COUNT}
+    place = {x & linededup._MASK: x >> 46 for x in slots}
+    some = sorted((place[token[w]], c) for w, c in n.items() if token[w] in place)
+    assert [c for _, c in some] == sorted(c for _, c in some) and len(some) > 5
+    got = {r.doc_id: r for r in linededup.report(df).collect()}
+    assert all(got[k].line_classes.split(",")[0] == "0:0:0:0" and got[k].n_removed >= 1 for k in range(1, 300)) and got[0].n_removed == 0
 
 
 # --- 4
