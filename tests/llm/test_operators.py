@@ -164,7 +164,7 @@ def near_lines(n):
 
 
 def test_lines(spark, docs):
-    df = spark.createDataFrame(near_lines(12) + cases.rows(), cases.SCHEMA)
+    df = spark.createDataFrame([(500 + k, *r) for k, *r in near_lines(12)] + cases.rows(), cases.SCHEMA)
     got = linededup.resolve(df.repartition(3)).collect()
     h = {(r.doc_id, r.text or ""): r.h for r in df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
     lines = sorted(((i, h[(None if not i[0] else i[1], t)], k, x) for i, t, k, x in brute_lines(df.select("doc_id", "text").collect())), key=lambda r: r[:3])
