@@ -372,24 +372,55 @@ def brute_hits(text, windows):
             if own := windows.get(tuple(w[k : k + n])):
                 hit |= set(range(k, k + n))
                 items |= own
+    items.discard(None)
     return len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)
 
 
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 200])
 def test_decontamination(spark, both, sf_dir, block):
-    more = spark.createDataFrame([(900, "the of"), (901, None), (902, "  "), (903, cases.prose(3, 14)), (904, "Two, WORDS!"), (None, "one"), (905, "日本語")], "item_id bigint, text string")
+    more = spark.createDataFrame([(900, "the of"), (901, None), (902, "  "), (903, cases.prose(3, 14)), (904, "Two, WORDS!"), (None, "one"), (None, "w1x1 w2x2"), (905, "日本語")], "item_id bigint, text string")
     bench = table(spark, sf_dir, "benchmark").unionByName(more)
     windows = defaultdict(set)
     for r in bench.collect():
         w = HARD.findall(low(r.text))
-        if w and r.item_id is not None:
-            for k in range(max(1, len(w) - 9)):
-                windows[tuple(w[k : k + 10])].add(str(r.item_id))
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[k : k + 10])].add(None if r.item_id is None else str(r.item_id))
     for df in both:
         got = decontaminate.contamination(df, bench, keep=["doc_id"], block_bytes=block).collect()
         assert bag(got) == bag((i, *brute_hits(t, windows)) for i, t, *_ in listed(df))
 
 
+def test_packed_tables():
+    """Search over random words against brute force, with repeated and null items; a large block stays small."""
+    import random
+
+    r = random.Random(1)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 5))) for _ in range(200)]
+    some = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    items = [(str(k), some(r.randint(0, 40))) for k in range(40)] + [(None, some(15)), ("x", "one"), ("y", "one"), ("z", ""), ("é", some(30))]
+    windows = defaultdict(set)
+    for i, t in items:
+        w = t.split()
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[k : k + 10])].add(i)
+    m = decontaminate.Matcher(decontaminate.build([(i, t.encode()) for i, t in items]))
+    hits = 0
+    for _ in range(300):
+        w = some(r.randint(0, 30)).split()
+        for _ in range(r.randint(0, 3)):
+            own = r.choice(items)[1].split()
+            at = r.randrange(len(own) + 1)
+            w[at:at] = own[at : at + r.randint(1, 25)]
+        found, own = m.search(b" " + " ".join(w).encode() + b" ")
+        covered = {x for a, b in decontaminate.merged(found) for x in range(a, b)}
+        n, n_hit, n_items, digest, bad = brute_hits(" ".join(w), windows)
+        assert (len(covered), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest()) == (n_hit, n_items, digest)
+        hits += bad
+    assert hits > 100
+    large = decontaminate.build([(str(k), " ".join(r.choice(vocab) + str(r.randrange(900)) for _ in range(5000)).encode()) for k in range(40)])
+    assert sum(a.nbytes for a in large.values()) < 80 << 20
+
+
 # --- 9
 
 
