@@ -7,13 +7,13 @@ matrix products for a batch of texts: presence by landmarks gives kernel values,
 per language.
 
 The kernel counts n-grams that occur in landmarks: no other n-gram can add to a kernel value with a landmark, and texts
-are normalised by those. Letters are folded to lower case; all else but letters counts as one blank, and letters beyond
-the `ALPHABET` most frequent of the landmarks as one letter.
+are normalised by those. Letters are folded to lower case; all else but letters counts as one blank. Every letter and
+every n-gram of the landmarks counts.
 
-The classifier is fitted on a bounded sample of labelled rows: `PER_CLASS` rows of a language, smallest id hashes
-first, for the `CLASSES` most frequent languages; from these `LANDMARKS` are taken in turn by language, texts of at
-most `LANDMARK_CHARS` characters first, and `FEATURES` n-grams that most landmarks have. Everything else reads all data
-and whole texts.
+The classifier is fitted on a bounded sample of labelled rows: `PER_CLASS` distinct texts of each language, smallest
+hashes first, of at most `SAMPLE_CHARS` characters where a language has such; from these `LANDMARKS` (or `MARKS` a
+language, if that is more) are taken in turn by language, texts of at most `LANDMARK_CHARS` characters first. Everything
+else reads all data and whole texts.
 
 Defined results: a text that is null or has no letter is `und` with score 0; without labelled rows every text is; texts
 without a known n-gram get the language of least score distance, first by name; ties of scores go to the first language
@@ -23,7 +23,6 @@ out unless asked for.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -34,46 +33,84 @@ from pyspark.sql import types as T
 
 from millrace.llm.common import arrow_columns
 
-ORDER, ALPHABET, LANDMARKS, LANDMARK_CHARS, FEATURES, PER_CLASS, CLASSES, RIDGE = 3, 94, 128, 6000, 24576, 300, 100, 1e-3
+ORDER, LANDMARKS, MARKS, LANDMARK_CHARS, PER_CLASS, SAMPLE_CHARS, RIDGE = 3, 128, 2, 6000, 300, 100_000, 1e-3
 #: Texts in one matrix product, and characters taken at a time from a long text.
 BATCH, STRIDE = 64, 1 << 20
 #: Texts with so many letters or more tell how much is known of a learned language; at least FEW of them; the fence below their lower quartile.
 STEADY, FEW, FENCE, LEAST_RANGE = 200, 20, 3.0, 0.02
-_LETTER = re.compile(r"[^\W\d_]")
+#: Bits of a letter in the number of an n-gram.
+_BITS = 21
 
 
 def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
+class Columns:
+    """Places 1, 2, ... of a sorted list of numbers, 0 for all others: a hash table that is searched for many at a time."""
+
+    def __init__(self, numbers: np.ndarray):
+        bits = max(4, (4 * len(numbers)).bit_length())
+        self.down = np.uint64(64 - bits)
+        self.keys = np.full(1 << bits, -1, np.int64).view(np.uint64)
+        self.places = np.zeros(1 << bits, np.int32)
+        left, self.most = np.arange(len(numbers)), 0
+        while len(left):
+            at = self._slot(numbers[left], self.most)
+            free = np.flatnonzero(self.places[at] == 0)
+            _, one = np.unique(at[free], return_index=True)
+            done = free[one]
+            self.keys[at[done]] = numbers[left[done]]
+            self.places[at[done]] = left[done] + 1
+            left = np.delete(left, done)
+            self.most += 1
+
+    def _slot(self, numbers: np.ndarray, k: int) -> np.ndarray:
+        at = (numbers * np.uint64(0x9E3779B97F4A7C15) >> self.down).astype(np.int64)
+        return at + k & len(self.keys) - 1 if k else at
+
+    def __call__(self, numbers: np.ndarray) -> np.ndarray:
+        at = self._slot(numbers, 0)
+        found = self.keys[at]
+        out = np.where(found == numbers, self.places[at], 0)
+        left = np.flatnonzero((found != numbers) & (self.places[at] > 0))
+        for k in range(1, self.most):
+            if not len(left):
+                break
+            at = self._slot(numbers[left], k)
+            hit = self.keys[at] == numbers[left]
+            out[left[hit]] = self.places[at[hit]]
+            left = left[~hit & (self.places[at] > 0)]
+        return out
+
+
 class Kernel:
     """Presence of the landmarks' n-grams in texts."""
 
-    def __init__(self, landmarks: list[str], order: int = ORDER, alphabet: int = ALPHABET, features: int = FEATURES):
+    def __init__(self, landmarks: list[str], order: int = ORDER):
         self.order = order
-        count = Counter(c for t in landmarks for c in t.lower() if c.isalpha())
-        letters = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:alphabet]]
-        # 0: blank, 1: other letters, then the letters of the landmarks.
-        self.size = len(letters) + 2
-        self.code = {ord(c): k + 2 for k, c in enumerate(letters)}
-        self.symbols = np.zeros(0x110000, np.uint8)
+        # 0: blank, 1: letters that no landmark has, then the letters of the landmarks.
+        letters = sorted({ord(c) for t in landmarks for c in t.lower() if c.isalpha()})
+        self.symbols = np.zeros(0x110000, np.int32)
         self.symbols[[c for c in range(0x110000) if chr(c).isalpha()]] = 1
-        for c, k in self.code.items():
-            self.symbols[c] = k
-        self.columns = [np.zeros(self.size**n, np.int32) for n in range(1, order + 1)]
-        held: Counter = Counter()
+        self.symbols[letters] = np.arange(2, len(letters) + 2)
+        grams: list[set[int]] = [set() for _ in range(order)]
         for t in landmarks:
-            held.update((n, int(k)) for n, keys in enumerate(self.keys(t)) for k in np.unique(keys))
-        chosen = sorted(held.items(), key=lambda x: (-x[1], x[0]))[:features]
-        for column, ((n, k), _) in enumerate(chosen, 1):
-            self.columns[n][k] = column
-        self.width = len(chosen) + 1
+            for held, keys in zip(grams, self.keys(t), strict=True):
+                held.update(np.unique(keys).tolist())
+        self.columns = [Columns(np.array(sorted(held), np.uint64)) for held in grams]
+        self.before = np.concatenate([[0], np.cumsum([len(held) for held in grams])]).tolist()
+        self.width = self.before[-1] + 1
 
     def keys(self, text: str) -> list[np.ndarray]:
-        ids = self.symbols[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint32)
+        ids = self.symbols[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
         out = [ids]
         for n in range(1, self.order):
-            out.append(out[-1][:-1] * self.size + ids[n:])
+            out.append((out[-1][:-1] << np.uint64(_BITS)) | ids[n:])
         return out
 
     def presence(self, texts: list[str]) -> np.ndarray:
@@ -81,14 +118,14 @@ class Kernel:
         p = np.zeros((len(texts), self.width), np.float32)
         for row, t in zip(p, texts, strict=True):
             for at in range(0, max(len(t), 1), STRIDE):
-                for column, keys in zip(self.columns, self.keys(t[at : at + STRIDE + self.order - 1]), strict=True):
-                    row[column[keys]] = 1
+                for columns, before, keys in zip(self.columns, self.before, self.keys(t[at : at + STRIDE + self.order - 1]), strict=False):
+                    place = columns(keys)
+                    row[np.where(place > 0, place + before, 0)] = 1
         p[:, 0] = 0
         norm = np.sqrt(p.sum(axis=1, keepdims=True))
         np.divide(p, norm, out=p, where=norm > 0)
         return p
 
-
     def known(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many `ORDER`-grams around a letter each text has, and the share of them that landmarks have."""
         n, hit = np.zeros(len(texts)), np.zeros(len(texts))
@@ -97,19 +134,19 @@ class Kernel:
                 keys = self.keys(" " * (at == 0) + t[max(at - 1, 0) : at + STRIDE + self.order - 2] + " " * (at + STRIDE >= len(t)))
                 inner = keys[0][1 : len(keys[-1]) + 1] > 0
                 n[k] += inner.sum()
-                hit[k] += (self.columns[-1][keys[-1][inner]] > 0).sum()
+                hit[k] += (self.columns[-1](keys[-1][inner]) > 0).sum()
         return n, hit / np.maximum(n, 1)
 
 
 class Classifier:
     def __init__(self, rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE):
         """rows: (text, language), whose order decides which become landmarks."""
-        rows = [(t, y) for t, y in rows if t and _LETTER.search(t)]
+        rows = [(t, y) for t, y in rows if has_letter(t)]
         self.languages = sorted({y for _, y in rows})
         if not rows:
             return
         queues = {y: sorted((t for t, z in rows if z == y), key=lambda t: len(t) > LANDMARK_CHARS) for y in self.languages}
-        chosen = [q[k] for k in range(max(map(len, queues.values()))) for q in queues.values() if k < len(q)][:landmarks]
+        chosen = [q[k] for k in range(max(map(len, queues.values()))) for q in queues.values() if k < len(q)][: max(landmarks, MARKS * len(queues))]
         self.kernel = Kernel(chosen)
         marks = self.kernel.presence(chosen)
         self.marks = np.ascontiguousarray(marks.T)
@@ -149,7 +186,7 @@ class Classifier:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score in [0, 1] of each text."""
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-        known = [k for k, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
+        known = [k for k, t in enumerate(texts) if self.languages and has_letter(t)]
         for at in range(0, len(known), BATCH):
             ks = known[at : at + BATCH]
             scores = (self.kernel.presence([texts[k] for k in ks]) @ self.marks) @ self.weights
@@ -159,28 +196,32 @@ class Classifier:
         return [x for x, _ in out], [s for _, s in out]
 
 
-def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS, classes: int = CLASSES) -> list[tuple[str, str]]:
-    """The bounded sample: at most per_class rows of each of `classes` languages.
+def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """The bounded sample: at most per_class distinct texts of each language.
 
-    Rows are counted by language first; then one scan keeps about per_class + 6 sqrt(per_class) rows of a language by the
-    threshold on the hash of id and text that its count asks for, and the smallest hashes of them are used. A limit of
-    twice that number holds where equal rows have equal hashes.
+    Distinct texts are counted by language first; then one scan keeps about per_class + 6 sqrt(per_class) texts of a
+    language by the threshold on the texts' hash that its count asks for, and the smallest hashes of them are used.
+    Copies of a text count once. Of a language without texts of at most sample_chars characters MARKS longer ones are used.
     """
-    free = docs.filter(~held_out(F.col(f"`{id_col}`")) & F.col(f"`{lang_col}`").isNotNull()).select(
-        F.col(f"`{id_col}`").alias("i"), F.col(f"`{lang_col}`").cast("string").alias("y"), F.col(f"`{text_col}`").alias("t"), (F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).alias("h")
+    t = F.col(f"`{text_col}`")
+    free = docs.filter(~held_out(F.col(f"`{id_col}`")) & F.col(f"`{lang_col}`").isNotNull() & t.isNotNull()).select(
+        F.col(f"`{lang_col}`").cast("string").alias("y"), t.alias("t"), F.xxhash64(t).alias("x"), (F.length(t) > sample_chars).alias("long")
     )
-    counts = free.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(classes).collect()
-    if not counts:
+    n = {(r.y, r.long): r.n for r in free.groupBy("y", "long").agg(F.approx_count_distinct("x", 0.02).alias("n")).collect()}
+    if not n:
         return []
-    take = per_class + 6 * per_class**0.5
-    share = F.create_map(*[x for r in counts for x in (F.lit(r.y), F.lit(min(1.0, take / r.n)))])
-    rows = free.filter(F.col("h") < F.coalesce(F.try_element_at(share, F.col("y")), F.lit(0.0))).select("y", "h", "i", "t").limit(int(2 * take * len(counts))).collect()
-    rows.sort(key=lambda r: (r.y, r.h, -1 if r.i is None else r.i, r.t or ""))
+    # A tenth more, as the counts are estimates.
+    take = {k: 1.1 * (per_class + 6 * per_class**0.5) if not k[1] else MARKS + 6 * MARKS**0.5 for k in n if not k[1] or (k[0], False) not in n}
+    shares = free.sparkSession.createDataFrame([(*k, min(1.0, m / n[k]) if n[k] > 2 * m else 1.0) for k, m in take.items()], "y string, long boolean, share double")
+    place = F.col("x").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    kept = free.join(F.broadcast(shares), ["y", "long"]).filter(place < F.col("share")).groupBy("y", "x").agg(F.min("t").alias("t"))
+    rows = kept.collect()
+    rows.sort(key=lambda r: (r.y, r.x & ((1 << 52) - 1), r.x))
     seen: Counter = Counter()
     out = []
     for r in rows:
         seen[r.y] += 1
-        if seen[r.y] <= per_class:
+        if seen[r.y] <= (per_class if (r.y, False) in take else MARKS):
             out.append((r.t, r.y))
     return out
 
