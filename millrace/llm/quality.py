@@ -16,8 +16,8 @@ beyond the quartiles of all distinct texts of that language that pass the base r
 range counts as `FLOOR` at least. The character model counts copies each, so a text with very many copies can fall below
 its band. By words only a high perplexity counts,
 since words that other texts foretell well are those of near copies: `SPREAD` times twice the way from the median to the
-upper quartile (`WORD_FLOOR` at least) above that. The mean over a short text scatters as
-one over the root of its length, so below `STEADY` words the band widens by that root. Base rules (words
+upper quartile (`WORD_FLOOR` at least) above that. A text's mean scatters around its language's with a variance of one
+part that all texts have and one that falls with its length, so the way is times sqrt(1 + `SCATTER` / words). Base rules (words
 `[^\\x20\\x09-\\x0D]+`): 20 words at least, and at most 30 % of words in 8-word windows found twice or more.
 
 Defined results: null texts have no words and fail; a null language is a language of its own; texts without symbols
@@ -40,10 +40,13 @@ from pyspark.sql import types as T
 from millrace.llm import wordmodel
 from millrace.llm.common import SPACE, arrow_columns, filesystem, materialise, publish, shared_dir, slices, texts_of
 
-ORDER, SPREAD, STEADY, LEAST_WORDS, REPEATED, REPEAT_WINDOW = 5, 3.0, 100, 20, 30, 8
+ORDER, SPREAD, SCATTER, LEAST_WORDS, REPEATED, REPEAT_WINDOW = 5, 2.5, 50, 20, 30, 8
 #: Least spread of log perplexities that a band is made from, by symbols and by words.
 FLOOR, WORD_FLOOR = 0.02, 0.1
-_PAD, _BITS = 63, 6
+#: Steps of a unit of log perplexity in which quantiles are taken.
+STEPS = 4096
+#: Symbols are 6-bit numbers; the leading bits of an n-gram tell its part of the arrays.
+_PAD, _BITS, _PART_BITS = 63, 6, 4
 #: Distinct n-grams that a counting task holds before it hands them on.
 HELD = 1 << 21
 _SYMBOLS = b"#*$%&|<>"
@@ -163,7 +166,10 @@ def _folder(lang: str) -> str:
 
 
 def write_model(tables: list[DataFrame], path: str) -> None:
-    """Sorted arrays by language and order: <language digest>/<order>.key (u32), .logp and .logb (f32)."""
+    """Sorted arrays by language, order and part: <language digest>/<order>.<part>.key (u32), .logp and .logb (f32).
+
+    A part holds the n-grams of some first symbols, so that no task gets all of a language's.
+    """
 
     def run(batches):
         from contextlib import ExitStack
@@ -179,24 +185,23 @@ def write_model(tables: list[DataFrame], path: str) -> None:
                     fs.move(mine, name)
 
         for b in batches:
-            langs, orders = b.column(0), b.column(1)
-            runs = pc.run_end_encode(pc.binary_join_element_wise(langs, pc.cast(orders, pa.string()), "\t"))
+            runs = pc.run_end_encode(pc.binary_join_element_wise(b.column(0), pc.cast(b.column(1), pa.string()), pc.cast(b.column(2), pa.string()), "\t"))
             at = 0
             for end, what in zip(runs.run_ends.to_pylist(), runs.values.to_pylist(), strict=True):
                 if what != current:
                     close()
                     current = what
-                    lang, _, order = what.rpartition("\t")
+                    lang, order, of = what.rsplit("\t", 2)
                     fs.create_dir(f"{root}/{_folder(lang)}", recursive=True)
                     stack, names, files = ExitStack(), [], []
                     for kind in ("key", "logp", "logb"):
-                        name = f"{root}/{_folder(lang)}/{order}.{kind}"
+                        name = f"{root}/{_folder(lang)}/{order}.{of}.{kind}"
                         mine = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
                         files.append(stack.enter_context(fs.open_output_stream(mine)))
                         names.append((mine, name))
                 part = b.slice(at, end - at)
-                files[0].write(part.column(2).to_numpy(zero_copy_only=False).astype("<u4").tobytes())
-                for f, c in zip(files[1:], (3, 4), strict=True):
+                files[0].write(part.column(3).to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+                for f, c in zip(files[1:], (4, 5), strict=True):
                     f.write(part.column(c).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).astype("<f4").tobytes())
                 rows += end - at
                 at = end
@@ -207,9 +212,9 @@ def write_model(tables: list[DataFrame], path: str) -> None:
 
     whole = None
     for k, t in enumerate(tables, 1):
-        t = t.select("lang", F.lit(k).alias("order"), "code", "logp", "logb")
+        t = t.select("lang", F.lit(k).alias("order"), F.shiftright("code", _BITS * k - _PART_BITS).cast("int").alias("part"), "code", "logp", "logb")
         whole = t if whole is None else whole.unionByName(t)
-    materialise(whole.repartition("lang", "order").sortWithinPartitions("lang", "order", "code").mapInArrow(run, "rows long"))
+    materialise(whole.repartition("lang", "order", "part").sortWithinPartitions("lang", "order", "part", "code").mapInArrow(run, "rows long"))
 
 
 class Model:
@@ -220,9 +225,12 @@ class Model:
         self.levels = []
         for k in range(1, order + 1):
             name = f"{root}/{_folder(lang)}/{k}"
-            self.levels.append([self._open(fs, f"{name}.{kind}", t) for kind, t in (("key", "<u4"), ("logp", "<f4"), ("logb", "<f4"))])
+            kinds = (("key", "<u4"), ("logp", "<f4"), ("logb", "<f4"))
+            self.levels.append([[self._open(fs, f"{name}.{part}.{kind}", t) for kind, t in kinds] for part in range(1 << _PART_BITS)])
         # Symbols that the language never shows share what its symbols leave.
-        seen = self.levels[0][1][~np.isnan(self.levels[0][1])]
+        seen = np.concatenate([logp for _, logp, _ in self.levels[0]])
+        self.empty = not len(seen)
+        seen = seen[~np.isnan(seen)]
         rest = 1.0 - float(np.exp(seen.astype(np.float64)).sum())
         self.floor = float(np.log(rest / (64 - len(seen)))) if len(seen) < 64 and rest > 1e-9 else -float(np.log(64.0))
 
@@ -241,35 +249,44 @@ class Model:
         with fs.open_input_file(name) as f:
             return np.frombuffer(f.read(), kind)
 
-    def logp(self, codes: np.ndarray, level: int | None = None) -> np.ndarray:
-        """Natural log probabilities of the last symbols."""
-        level = len(self.levels) if level is None else level
+    def logp(self, codes: np.ndarray) -> np.ndarray:
+        """Natural log probabilities of the last symbols; each distinct n-gram is looked up once, in order."""
+        if not len(codes):
+            return np.zeros(0, np.float32)
+        packed = (codes.astype(np.uint64) << np.uint64(32)) | np.arange(len(codes), dtype=np.uint64)
+        packed.sort()
+        ordered = (packed >> np.uint64(32)).astype(np.uint32)
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        out = np.empty(len(codes), np.float32)
+        out[(packed & np.uint64(0xFFFFFFFF)).astype(np.int64)] = np.repeat(self._logp(ordered[starts], len(self.levels)), np.diff(np.append(starts, len(ordered))))
+        return out
+
+    def _logp(self, codes: np.ndarray, level: int) -> np.ndarray:
         if not level:
             return np.full(len(codes), self.floor, np.float32)
-        keys, logp, _ = self.levels[level - 1]
-        found, at = self._find(keys, codes)
-        out = np.zeros(len(codes), np.float32)
-        out[found] = logp[at[found]]
+        out = self._values(level, 1, codes)
         # Contexts that are never scored themselves (a text's start) have a back-off weight but no probability.
-        missing = ~found | np.isnan(out)
+        missing = np.isnan(out)
         if missing.any():
             rest = codes[missing]
-            below = self.logp(rest & np.uint32((1 << _BITS * (level - 1)) - 1), level - 1)
+            below = self._logp(rest & np.uint32((1 << _BITS * (level - 1)) - 1), level - 1)
             if level > 1:
-                contexts, _, logb = self.levels[level - 2]
-                known, where = self._find(contexts, rest >> np.uint32(_BITS))
-                add = np.zeros(len(rest), np.float32)
-                add[known] = np.nan_to_num(logb[where[known]])
-                below = below + add
+                below = below + np.nan_to_num(self._values(level - 1, 2, rest >> np.uint32(_BITS)))
             out[missing] = below
         return out
 
-    @staticmethod
-    def _find(keys: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(codes), bool), np.zeros(len(codes), np.int64)
-        at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-        return keys[at] == codes, at
+    def _values(self, level: int, kind: int, codes: np.ndarray) -> np.ndarray:
+        """The values of n-grams in any order, nan for those that the model lacks."""
+        out = np.full(len(codes), np.nan, np.float32)
+        first = codes >> np.uint32(_BITS * level - _PART_BITS)
+        for part in np.unique(first).tolist():
+            keys, values = self.levels[level - 1][part][0], self.levels[level - 1][part][kind]
+            if len(keys):
+                mine = np.flatnonzero(first == part)
+                at = np.minimum(np.searchsorted(keys, codes[mine]), len(keys) - 1)
+                found = keys[at] == codes[mine]
+                out[mine[found]] = values[at[found]]
+        return out
 
 
 def repeated_words(words: list[bytes], window: int = REPEAT_WINDOW) -> int:
@@ -344,7 +361,7 @@ def measured(docs: DataFrame, model: str, words: str, id_col: str = "doc_id", te
             for lang, ks in by.items():
                 m = models.get(lang) or models.setdefault(lang, Model(model, lang, order))
                 codes, n = ngrams([texts[k] or "" for k in ks], table, order)
-                if not len(codes) or not len(m.levels[0][0]):
+                if not len(codes) or m.empty:
                     continue
                 total = np.concatenate([[0.0], np.cumsum(m.logp(codes).astype(np.float64))])
                 ends = np.cumsum(n)
@@ -362,12 +379,20 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
 
 
+def _quantiles(rows: DataFrame, column: str) -> DataFrame:
+    """(lang, <column>1, <column>2, <column>3): the quartiles by language, to 1/STEPS; the same however rows are spread."""
+    by = Window.partitionBy("lang")
+    binned = rows.filter(F.col(column).isNotNull()).groupBy("lang", F.floor(F.col(column) * STEPS).alias("bin")).agg(F.count("*").alias("n"))
+    binned = binned.withColumn("below", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
+    return binned.groupBy("lang").agg(*[((F.min(F.when(4 * F.col("below") >= k * F.col("all"), F.col("bin"))) + 0.5) / STEPS).alias(f"{column}{k}") for k in (1, 2, 3)])
+
+
 def bands(rows: DataFrame, spread: float = SPREAD) -> DataFrame:
     """(lang, q1, q3, reach) on logppl and (w_q3, w_reach) on logword, over distinct texts."""
-    q = lambda c: F.percentile_approx(c, F.array(*map(F.lit, (0.25, 0.5, 0.75))), 10_000).alias(c)
-    t = rows.filter(~base_failed()).dropDuplicates(["lang", "h1", "h2"]).groupBy("lang").agg(q("logppl"), q("logword"))
-    (q1, _, q3), (_, w2, w3) = ([F.col(c)[k] for k in range(3)] for c in ("logppl", "logword"))
-    return t.select("lang", q1.alias("q1"), q3.alias("q3"), (F.greatest(q3 - q1, F.lit(FLOOR)) * spread).alias("reach"), w3.alias("w_q3"), (F.greatest((w3 - w2) * 2, F.lit(WORD_FLOOR)) * spread).alias("w_reach"))
+    t = rows.filter(~base_failed()).select("lang", "h1", "h2", "logppl", "logword").dropDuplicates(["lang", "h1", "h2"])
+    t = _quantiles(t, "logppl").join(_quantiles(t, "logword"), "lang", "full")
+    c = F.col
+    return t.select("lang", c("logppl1").alias("q1"), c("logppl3").alias("q3"), (F.greatest(c("logppl3") - c("logppl1"), F.lit(FLOOR)) * spread).alias("reach"), c("logword3").alias("w_q3"), (F.greatest((c("logword3") - c("logword2")) * 2, F.lit(WORD_FLOOR)) * spread).alias("w_reach"))
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> str:
@@ -383,7 +408,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     words = words or wordmodel.train(docs, text_col, lang_col)
     rows = materialise(measured(docs, model, words, id_col, text_col, lang_col))
     out = rows.join(bands(rows, spread), "lang", "left").withColumn("base_failed", base_failed())
-    widen = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(STEADY)) / F.greatest("n_words", F.lit(1))))
+    widen = F.sqrt(1 + F.lit(float(SCATTER)) / F.greatest("n_words", F.lit(1)))
     reach, by_word = F.col("reach") * widen, F.col("w_reach") * widen
     out = out.withColumn("low", F.col("q1") - reach).withColumn("high", F.col("q3") + reach).withColumn("w_high", F.col("w_q3") + by_word)
     inside = F.coalesce(F.col("logppl").between(F.col("low"), F.col("high")), F.lit(True)) & F.coalesce(F.col("logword") <= F.col("w_high"), F.lit(True))

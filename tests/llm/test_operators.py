@@ -569,6 +569,82 @@ def test_model_sums_to_one(spark):
         assert (p[every[:27]] > 0).all()
 
 
+def brute_kneser_ney(texts, order=5):
+    """p(symbol | context) of an interpolated modified Kneser-Ney model by its formulas, with backing off."""
+    table_, pad = quality._symbol_table(), quality._PAD
+    counts = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        s = [pad] * (order - 1) + [int(table_[ord(c)]) for c in t]
+        counts[order].update(tuple(s[k : k + order]) for k in range(len(s) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k].update(g[1:] for g in counts[k + 1])
+    after, discount, weight = [defaultdict(int) for _ in counts], [None] * (order + 1), [defaultdict(float) for _ in counts]
+    for k in range(1, order + 1):
+        n = [sum(v == j for v in counts[k].values()) for j in range(5)]
+        if n[1] and n[2] and n[3]:
+            y = n[1] / (n[1] + 2 * n[2])
+            discount[k] = [min(max(j - (j + 1) * y * n[j + 1] / n[j], 0.1), j - 0.1) for j in (1, 2, 3)]
+        else:
+            discount[k] = [0.5, 1.0, 1.5]
+        for g, v in counts[k].items():
+            after[k][g[:-1]] += v
+            weight[k][g[:-1]] += discount[k][min(v, 3) - 1]
+
+    def seen(g):
+        k = len(g)
+        if not k:
+            return 1 / 64
+        v = counts[k][g]
+        return (v - discount[k][min(v, 3) - 1] + weight[k][g[:-1]] * seen(g[1:])) / after[k][g[:-1]]
+
+    left = (1 - sum(seen(g) for g in counts[1])) / (64 - len(counts[1]))
+
+    def p(g):
+        k = len(g)
+        if g in counts[k]:
+            return seen(g)
+        if k == 1:
+            return left
+        return p(g[1:]) * (weight[k][g[:-1]] / after[k][g[:-1]] if g[:-1] in after[k] else 1.0)
+
+    return p
+
+
+def test_kneser_ney(spark):
+    texts = [cases.prose(k, 30) for k in range(8)] + ["Héllo, 日本 12!", "aaaa aaaa", ""]
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id int, text string, lang string").repartition(3)
+    m, p = quality.Model(quality.train(df), "en"), brute_kneser_ney(texts)
+    r = np.random.default_rng(2)
+    codes = quality.ngrams([*texts, "the quick brown fox", "zzz qqq ###"], quality._symbol_table())[0]
+    codes = np.concatenate([codes, codes ^ r.integers(0, 4, len(codes)).astype(np.uint32), r.integers(0, 1 << 30, 300).astype(np.uint32)])
+    want = [np.log(p(tuple(int(c) >> 6 * k & 63 for k in (4, 3, 2, 1, 0)))) for c in codes if c & 63 != quality._PAD]
+    assert m.logp(codes[codes & np.uint32(63) != quality._PAD]) == pytest.approx(want, abs=2e-4)
+
+
+def test_quality_verdicts(spark, sf_dir):
+    """Bands and verdicts by brute force over the perplexities."""
+    docs = table(spark, sf_dir, "documents")
+    text = {r.doc_id: (r.lang or "", r.text) for r in docs.collect()}
+    got = quality.quality(docs).collect()
+    held = defaultdict(dict)
+    for r in got:
+        if not r.base_failed:
+            held[text[r.doc_id][0]][text[r.doc_id][1]] = (np.log(r.perplexity), np.log(r.word_perplexity))
+    assert len(held) > 2
+
+    def quartiles(values):
+        v = sorted(int(np.floor(x * quality.STEPS + 1e-9)) for x in values)
+        return [(v[-(-k * len(v) // 4) - 1] + 0.5) / quality.STEPS for k in (1, 2, 3)]
+
+    for r in got:
+        (q1, _, q3), (_, w2, w3) = (quartiles([x[k] for x in held[text[r.doc_id][0]].values()]) for k in (0, 1))
+        way = quality.SPREAD * np.sqrt(1 + quality.SCATTER / max(r.n_words, 1))
+        low, high, w_high = q1 - max(q3 - q1, quality.FLOOR) * way, q3 + max(q3 - q1, quality.FLOOR) * way, w3 + max(2 * (w3 - w2), quality.WORD_FLOOR) * way
+        assert np.log([r.low, r.high, r.word_high]) == pytest.approx([low, high, w_high], abs=5e-3)
+        bad = (r.perplexity is not None and not r.low <= r.perplexity <= r.high) or (r.word_perplexity is not None and r.word_perplexity > r.word_high)
+        assert r.kept == (not r.base_failed and not bad)
+
+
 def test_ngrams_by_text():
     table_ = quality._symbol_table()
     one = [quality.ngrams([t], table_)[0].tolist() for t in ("abc", "", "d e f")]
