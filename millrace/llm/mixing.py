@@ -3,16 +3,17 @@
 Each document of a source expects target / source_size copies. Documents of a source are put into one order, expected
 copies are summed along it from one random offset, and a document is emitted once for each integer boundary that its
 stretch crosses: its copies are the rounding up or down of what it expects, two at most. The order goes by size, finest
-where it matters: by size class (16 classes an octave), then by a hash of the id and a hash order within it, so that every stretch of similar
+where it matters: by size class (16 classes an octave), then by a hash of id and text, so that every stretch of similar
 sizes gives its share and the words taken miss the target by about one document.
 
 No source is put in order by one task. Documents are counted by (source, size class, hash bucket); the counts, whose
 number depends on sources and classes and not on documents, are summed along the order, and documents are ranked within
-their cell only, by a shuffle of ids and sizes without texts. A hot source or size spreads over CELLS cells.
+their cell only, by a shuffle of ids and sizes without texts. A hot source or size spreads over CELLS cells, by id and
+text, so that null ids or one repeated id spread as well.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is a source of its own, last in the
 order of weights; a source without words has target 0; repeated rows are ranked one by one; documents with null ids are
-ranked together; an empty table gives no rows; columns besides id, text and source are ignored by `mix` and kept by
+ranked like others, by their texts; an empty table gives no rows; columns besides id, text and source are ignored by `mix` and kept by
 `sampled`. All numbers depend on ids, sizes and sources alone, so reruns agree.
 """
 
@@ -76,12 +77,12 @@ def _hash(text: Column) -> Column:
 def _keys(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, cells: int) -> DataFrame:
     """id, source, text hash and size of each row and its place in the order: src, class, place, cell. Written down; narrow."""
     text = F.col(f"`{text_col}`")
-    work = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), _hash(text).alias("h"), text.alias("t"))
+    work = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), _hash(text).alias("h"), F.md5(F.coalesce(text, F.lit(""))).alias("digest"), text.alias("t"))
     factory = lambda: lambda batch: [pa.array(word_counts(batch.column(0)))]
-    sized = arrow_columns(work, factory, T.StructType([T.StructField("size", T.LongType())]), ["id", "source", "h"], ["t"])
-    place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    sized = arrow_columns(work, factory, T.StructType([T.StructField("size", T.LongType())]), ["id", "source", "h", "digest"], ["t"])
+    place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("digest")))
     keyed = sized.withColumns({"src": source_key(F.col("source")), "class": size_class(F.col("size")), "place": place})
-    return materialise(keyed.withColumn("cell", F.pmod(F.conv(F.substring("place", 1, 4), 16, 10).cast("long"), F.lit(cells))))
+    return materialise(keyed.drop("digest").withColumn("cell", F.pmod(F.conv(F.substring("place", 1, 4), 16, 10).cast("long"), F.lit(cells))))
 
 
 def _copies(keyed: DataFrame, counted: DataFrame, weights, share, limit, seed) -> DataFrame:
@@ -89,7 +90,7 @@ def _copies(keyed: DataFrame, counted: DataFrame, weights, share, limit, seed) -
     goals = targets(sizes, weights, share, limit).withColumn("src", source_key(F.col("source"))).drop("source")
     along = Window.partitionBy("src").orderBy("class", "cell")
     starts = counted.select("src", "class", "cell", (F.sum("n").over(along) - F.col("n")).alias("before")).join(goals, "src")
-    rank = F.row_number().over(Window.partitionBy("src", "class", "cell").orderBy("place", "id", "size"))
+    rank = F.row_number().over(Window.partitionBy("src", "class", "cell").orderBy("place"))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at, u = F.col("before") + F.col("rank"), offset(F.col("src"), seed)
     copies = (F.floor(u + at * each) - F.floor(u + (at - 1) * each)).cast("long")
@@ -115,13 +116,14 @@ def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     """The mix itself: each row of docs as often as it is taken, with the columns of docs.
 
     Copies are joined to the rows by id, source and text hash, which shuffles texts once and doesn't pass them through
-    Python. Rows that agree in all three share their copies evenly, in turn.
+    Python. Rows that agree in all three share their copies evenly, in turn by a hash of their columns.
     """
     name = lambda i, s, h: F.concat_ws(":", i.cast("string"), F.coalesce(i.isNull(), F.lit(True)).cast("string"), h.cast("string"), source_key(s))
     out = _mixed(docs, id_col, text_col, source_col, weights, share, limit, seed, cells)
     taken = out.groupBy(name(F.col("id"), F.col("source"), F.col("h")).alias("key")).agg(F.sum("copies").alias("total"), F.count("*").alias("rows")).filter("total > 0")
+    by_row = F.xxhash64(*[F.col(f"k{i}") for i, f in enumerate(docs.schema) if "map<" not in f.dataType.simpleString()])
     work = docs.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(docs.columns)], name(F.col(f"`{id_col}`"), F.col(f"`{source_col}`").cast("string"), _hash(F.col(f"`{text_col}`"))).alias("key"))
-    joined = work.join(taken, "key").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))).cast("long"))
+    joined = work.join(taken, "key").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(by_row)).cast("long"))
     copies = F.expr("nth * total DIV rows - (nth - 1) * total DIV rows").cast("int")
     emitted = joined.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     return emitted.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(docs.columns)])
@@ -129,14 +131,14 @@ def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 SQL = f"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 placed AS (
-  SELECT *, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place, len(bin(size)) - 1 AS octave FROM sized),
+  SELECT *, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest) AS place, len(bin(size)) - 1 AS octave FROM sized),
 celled AS (
   SELECT *, CASE WHEN size < 32 THEN size ELSE octave * 16 + size * 16 // (1::BIGINT << octave) END AS class,
     CAST('0x' || substr(place, 1, 4) AS BIGINT) % {CELLS} AS cell FROM placed),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, cell, place, doc_id, size) AS nth FROM celled),
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, cell, place) AS nth FROM celled),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT *, 2.0::DOUBLE * source_size AS cap,

@@ -1,9 +1,10 @@
 """Personal data by patterns, checksums and context (operator 7), as DataFrame expressions only.
 
 Regular expressions propose spans; validators confirm them: the Luhn sum for payment cards, parts up to 255 for IP
-addresses, numbers of digits for phones and cards, and mod-97 for IBANs, which the method adds to the base kinds. Each
-confirmed span has a score: its kind's own, raised where a word of its kind's context stands within `NEAR` characters
-before or after it. Base spans stay whatever their score; an added span needs `LEAST` or more.
+addresses, numbers of digits for phones and cards, and mod-97 for IBANs, which the method adds to the base kinds, as it
+does social security numbers. Each confirmed span has a score: its kind's own, raised where a word of its kind's context
+stands within `spans.NEAR` characters before or after it, up to the kind's next match. Base spans stay whatever their score; an added span needs
+`LEAST` or more: an IBAN has it by its check digits, a social security number only by its context.
 
 The patterns equal the plain ones of the contract: a guard keeps a match from being tried inside a run that failed as
 a whole, and possessive loops don't back up where nothing could follow, so a text takes time in proportion to its
@@ -15,12 +16,14 @@ empty table gives no rows; columns besides those named are ignored.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import spans as S
 
-NEAR, BONUS, LEAST = 48, 0.35, 0.5
+BONUS, LEAST = 0.35, 0.5
 
 
 def _digits(m: Column) -> Column:
@@ -83,26 +86,25 @@ def _iban_pattern() -> str:
 
 
 IBAN = S.Rule("iban", _iban_pattern(), lambda m: mod97(F.regexp_replace(m, " ", "")))
-BASE, ADDED = (EMAIL, IP, CARD, PHONE), (IBAN,)
-SCORES = {"email": 0.6, "ip": 0.5, "card": 0.6, "phone": 0.4, "iban": 0.7}
+SSN = S.Rule("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda m: F.lit(True))
+SCORES = {"email": 0.6, "ip": 0.5, "card": 0.6, "phone": 0.4, "iban": 0.7, "ssn": 0.3}
 CONTEXT = {
     "email": "e-?mail|contact|mailto|kontakt|correo|courriel",
     "ip": "\\bip\\b|address|server|host|adresse",
     "card": "card|visa|credit|debit|payment|karte|tarjeta|carte",
     "phone": "phone|call|tel|mobile|fax|telefon|llam",
     "iban": "iban|bank|account|konto|cuenta|compte",
+    "ssn": "\\bssn\\b|social security|tax(payer)? id|sozialversicherung",
 }
+BASE, ADDED = ([replace(r, context=CONTEXT[r.kind]) for r in rules] for rules in ((EMAIL, IP, CARD, PHONE), (IBAN, SSN)))
 
 
-def score(text: Column, span: Column) -> Column:
-    """The score of a span in its text."""
-    begin = F.greatest(span["start"] - NEAR, F.lit(0))
-    around = F.lower(F.concat_ws(" ", F.substring(text, begin + 1, span["start"] - begin), F.substring(text, span["end"] + 1, F.lit(NEAR))))
-    own, near = F.lit(0.0), F.lit(False)
-    for kind in SCORES:
-        own = F.when(span["kind"] == kind, F.lit(SCORES[kind])).otherwise(own)
-        near = F.when(span["kind"] == kind, around.rlike(CONTEXT[kind])).otherwise(near)
-    return F.least(F.lit(1.0), own + F.when(near, F.lit(BONUS)).otherwise(F.lit(0.0)))
+def score(span: Column) -> Column:
+    """The score of a span."""
+    own = F.lit(0.0)
+    for kind, value in SCORES.items():
+        own = F.when(span["kind"] == kind, F.lit(value)).otherwise(own)
+    return F.least(F.lit(1.0), own + F.when(span["near"], F.lit(BONUS)).otherwise(F.lit(0.0)))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,9 +113,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rules = [*BASE, *ADDED]
     found = plain.select("id", "t", *[S.spans(F.col("t"), r, k).alias(f"s{k}") for k, r in enumerate(rules)])
     every = found.select("id", "t", S.ordered(*[F.col(f"s{k}") for k in range(len(rules))]).alias("s"))
-    scored = F.transform("s", lambda s: s.withField("score", score(F.col("t"), s)))
+    scored = F.transform("s", lambda s: s.withField("score", score(s)))
     kept = F.filter(scored, lambda s: (s["rank"] < len(BASE)) | (s["score"] >= LEAST))
-    return every.select("id", "t", F.when(F.size("s") > 0, kept).otherwise(F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,text:string,score:double>>)")).alias("spans"))
+    return every.select("id", "t", F.when(F.size("s") > 0, kept).otherwise(F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,text:string,near:boolean,score:double>>)")).alias("spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

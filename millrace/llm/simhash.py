@@ -21,7 +21,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,13 +100,13 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, cold:
     plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("h"), F.col(f"`{text_col}`").alias("t"))
     rows = materialise(fingerprints(plain, "id", "t", ["id", "h"], shingle))
     # By fingerprint and salt first: a fingerprint that a third of all rows share stays spread over SALTS rows.
-    part = rows.groupBy("fp", salt("id").alias("salt")).agg(F.min("id").alias("id"))
+    part = rows.groupBy("fp", salt("id", "h").alias("salt")).agg(F.min("id").alias("id"))
     nodes = materialise(part.groupBy("fp").agg(F.min("id").alias("id"), F.collect_set("salt").alias("salts")))
     rooted = components(links(nodes.select("fp"), cold)).select(F.col("node").alias("fp"), "root")
     known = nodes.join(rooted, "fp", "left").select("fp", "id", "salts", F.coalesce("root", "fp").alias("root"))
     least = known.groupBy("root").agg(F.min("id").alias("component_id"))
     spread = known.join(least, "root").select("fp", "root", "component_id", F.explode("salts").alias("salt"))
-    return rows.withColumn("salt", salt("id")).join(spread, ["fp", "salt"], "left")
+    return rows.withColumn("salt", salt("id", "h")).join(spread, ["fp", "salt"], "left")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, cold: int = COLD) -> DataFrame:
@@ -116,11 +116,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, cold: int = COLD) -> DataFrame:
-    """One row of docs for each component, that with the smallest id (then text hash), with all columns of docs."""
+    """One row of docs for each component, that with the smallest id (then text hash, then hash of all columns), with all columns of docs."""
     rank = F.struct(F.col("id").isNull().alias("unknown"), "id", "h")
     part = _components(docs, id_col, text_col, shingle, cold).groupBy("root", salt("id", "h").alias("salt")).agg(F.min(rank).alias("best"))
     name = lambda i, h: F.concat_ws(":", i.cast("string"), h.cast("string"))
     winners = materialise(part.groupBy("root").agg(F.min("best").alias("best")).select(name(F.col("best.id"), F.col("best.h")).alias("key")))
     work = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns)], name(F.col(f"`{id_col}`"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("key"))
-    kept = work.join(winners, "key", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))).filter("nth = 1")
-    return kept.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
+    # Rows that repeat a winner are aggregated, within each task first.
+    cols = [f"k{i}" for i in range(len(docs.columns))]
+    by_row = F.xxhash64(*[f"k{i}" for i, f in enumerate(docs.schema) if "map<" not in f.dataType.simpleString()])
+    kept = work.join(winners, "key", "left_semi").groupBy("key").agg(F.min_by(F.struct(*cols), by_row).alias("row"))
+    return kept.select(*[F.col(f"row.k{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -23,9 +23,13 @@ class Rule:
     pattern: str
     valid: Callable[[Column], Column]
     needs: Callable[[Column], Column] | None = None
+    #: A Java pattern of words that count when they stand within `NEAR` characters of a match, in lower case.
+    context: str | None = None
 
 
-SPAN = "array<struct<start:int,rank:int,end:int,kind:string,text:string>>"
+#: Characters before and after a match, up to the kind's next matches, that are its context.
+NEAR = 48
+SPAN = "array<struct<start:int,rank:int,end:int,kind:string,text:string,near:boolean>>"
 
 
 def no_spans() -> Column:
@@ -55,18 +59,27 @@ def running(lengths: Column) -> Column:
 
 
 def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """Valid matches of a rule in a text: leftmost, not overlapping; (start, rank, end, kind, text).
+    """Valid matches of a rule in a text: leftmost, not overlapping; (start, rank, end, kind, text, near).
 
     Matches and the stretches between them alternate, so a match ends where the lengths so far end. Texts without a
     match are told by one search.
     """
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
 
+    inside = lambda c: F.lower(c).rlike(rule.context)
+
     def located(matches: Column) -> Column:
-        between = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(matches))
-        steps = F.zip_with(between, matches, lambda a, b: F.length(a) + F.length(b))
-        pairs = F.zip_with(running(steps), matches, lambda end, m: F.struct((end - F.length(m)).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"), m.alias("text")))
-        return F.filter(pairs, lambda s: rule.valid(s["text"]))
+        def told(m: Column, before: Column, after: Column) -> Column:
+            """A match and whether a word of its context is near; null where the match isn't valid."""
+            near = F.lit(False) if rule.context is None else inside(F.right(before, F.lit(NEAR))) | inside(F.left(after, F.lit(NEAR)))
+            return F.struct(m.alias("m"), F.when(rule.valid(m), near).alias("n"), (F.length(before) + F.length(m)).alias("step"))
+
+        def placed(gaps: Column) -> Column:
+            around = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), F.slice(gaps, F.lit(2), F.size(matches)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+            every = F.zip_with(matches, around, lambda m, x: told(m, x["a"], x["b"]))
+            return let(every, lambda xs: F.zip_with(running(F.transform(xs, lambda x: x["step"])), xs, lambda end, x: F.struct((end - F.length(x["m"])).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"), x["m"].alias("text"), x["n"].alias("near"))))
+
+        return F.filter(let(F.split(text, rule.pattern, -1), placed), lambda s: s["near"].isNotNull())
 
     there = text.rlike(rule.pattern)
     if rule.needs is not None:

@@ -12,7 +12,8 @@ worker, whose later tasks find them (`Encoder`); the tokenizer is a byte-level B
 place, and texts with longer runs of white space are cut only where that holds.
 
 Defined results: null and empty texts hold the end id alone; null document ids come first; rows with equal ids stay
-next to each other, ordered by text; an empty table gives an empty store; columns besides id and text are ignored.
+next to each other, ordered by a hash of the text; ids that are no 64-bit integers are refused; an empty table gives an
+empty store; columns besides id and text are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from millrace.llm.common import filesystem, materialise, publish, shared_dir, sl
 END_ID = 2
 #: Words in each generation of an encoder's memory, words that the model takes at once, and bytes of text at a time.
 REMEMBER, JOINED, STEP = 500_000, 128, 4 << 20
+#: Documents that are read back at a time.
+READ = 1024
 _NULL = -(1 << 63)
 #: White space as the tokenizer's pattern takes it (Unicode White_Space).
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -176,8 +179,10 @@ _PARTS = T.StructType([T.StructField("part", T.LongType()), T.StructField("docs"
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Writes a store below the folder `path` (as Spark names it) and returns its parts: part, docs, ids, width, base."""
     spark = docs.sparkSession
-    ordered = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t"))
-    ordered = ordered.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "t")
+    ordered = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"))
+    # By text hash as well, so that rows with one id or none at all spread over parts.
+    order = [F.col("id").asc_nulls_first(), "h"]
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order, "t").select("id", "t")
 
     def run(batches):
         from pyspark import TaskContext
@@ -213,8 +218,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     return based
 
 
+class Ranges:
+    """An array in a file that can't be mapped to memory: what is asked for is read."""
+
+    def __init__(self, fs, name: str, kind: np.dtype):
+        self.file, self.kind = fs.open_input_file(name), kind
+
+    def __len__(self) -> int:
+        return self.file.size() // self.kind.itemsize
+
+    def __getitem__(self, at: int | slice) -> np.ndarray:
+        a, b = (at, at + 1) if not isinstance(at, slice) else at.indices(len(self))[:2]
+        found = np.frombuffer(self.file.read_at(max(b - a, 0) * self.kind.itemsize, a * self.kind.itemsize), self.kind)
+        return found if isinstance(at, slice) else found[0]
+
+
 class Part:
-    """One part of a store, mapped to memory where the folder is a file system's, else read."""
+    """One part of a store, mapped to memory where the folder is a local one, else read range by range."""
 
     def __init__(self, path: str, part: int, width: int):
         fs, root = filesystem(path)
@@ -227,8 +247,7 @@ class Part:
             import os
 
             return np.memmap(name, kind, "r") if os.path.getsize(name) else np.zeros(0, kind)
-        with fs.open_input_file(name) as f:
-            return np.frombuffer(f.read(), kind)
+        return Ranges(fs, name, kind)
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -248,10 +267,12 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
         for batch in batches:
             for part, width, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 p = Part(path, part, width)
-                for at in range(0, len(p), 4096):
-                    ks = range(at, min(at + 4096, len(p)))
-                    crc = [zlib.crc32(p[k].astype("<u4").tobytes()) for k in ks]
-                    off = p.off[at : ks[-1] + 2].astype(np.int64)
+                for at in range(0, len(p), READ):
+                    ks = range(at, min(at + READ, len(p)))
+                    off = np.asarray(p.off[at : ks[-1] + 2]).astype(np.int64)
+                    held = np.asarray(p.bin[int(off[0]) : int(off[-1])])
+                    cuts = (off - off[0]).tolist()
+                    crc = [zlib.crc32(held[a:b].astype("<u4").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                     ids = np.asarray(p.ids[at : ks[-1] + 1])
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == _NULL), pa.array(base + off[:-1]), pa.array(np.diff(off)), pa.array(crc, pa.int64())], names=[f.name for f in _READ])
 

@@ -195,6 +195,14 @@ def test_mixing(both):
         assert Counter((r.doc_id, r.source) for r in emitted.collect()) == Counter({k: v for k, v in got.assign(doc_id=got.doc_id.astype(object).where(got.doc_id.notna(), None), source=got.source.where(got.source.notna(), None)).groupby(["doc_id", "source"], dropna=False).copies.sum().items() if v} and {(None if k[0] != k[0] else int(k[0]), None if k[1] != k[1] else k[1]): int(v) for k, v in got.groupby(["doc_id", "source"], dropna=False).copies.sum().items() if v})
 
 
+def test_mixing_reruns(spark):
+    """Rows with one id, null ids and equal sizes: the sampled texts don't depend on partitions."""
+    rows = [(None if k % 3 else 5, f"text {cases.prose(k % 25, 6)}", "en", "a" if k % 2 else None) for k in range(120)]
+    df = spark.createDataFrame(rows, cases.SCHEMA).withColumn("more", F.monotonically_increasing_id()).cache()
+    one, two = (bag(mixing.sampled(x).collect()) for x in (df.repartition(2), df.repartition(7, "more")))
+    assert one == two and sum(one.values()) > 0
+
+
 # --- 3
 
 
@@ -345,6 +353,33 @@ def test_added_spans(spark):
     assert sorted(r.spans for r in secrets.report(df).collect()) == ["github:2:42", "key:0:31"]
 
 
+def test_context_decides(spark):
+    """A social security number is personal data near a word of its context only; the context ends at the next match."""
+    n = "219-09-9999"
+    texts = [f"SSN: {n}.", f"part {n}.", f"social security no. {n}", f"{n} is the tax ID", f"ssn {'x' * 60} {n}", f"219-09-0000 ssn 000-12-3456 {n}9", f"ssn {n} and {n}", "mail a@b.cc", "contact a@b.cc"]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame([(k, t, None, None) for k, t in enumerate(texts)], cases.SCHEMA)).collect()}
+    assert [got[k].spans for k in range(7)] == ["ssn:5:16", "", "ssn:20:31", "ssn:0:11", "", "", "ssn:4:15"]
+    assert [got[k].top_score for k in (0, 1, 7, 8)] == pytest.approx([0.65, None, 0.6, 0.95])
+
+
+def test_scores(both, spark):
+    """top_score by brute force over the fuzzed texts."""
+    own = {"email": 0.6, "ip": 0.5, "card": 0.6, "phone": 0.4}
+    for df in [both[1], spark.createDataFrame(fuzz(["phone ", "E-Mail ", "card", "ip ", *PII_BITS], 1500, 9), cases.SCHEMA)]:
+        for r, (_, t, *_) in zip(sorted(pii.report(df.filter("doc_id is not null")).collect(), key=lambda r: r.doc_id), sorted(listed(df.filter("doc_id is not null"))), strict=True):
+            best = []
+            for kind, (p, ok) in PII.items():
+                every = list(p.finditer(t or ""))
+                ends = [0, *(m.end() for m in every)]
+                starts = [*(m.start() for m in every), len(t or "")]
+                for k, m in enumerate(every):
+                    around = [t[max(ends[k], m.start() - 48) : m.start()].lower(), t[m.end() : min(starts[k + 1], m.end() + 48)].lower()]
+                    if ok(m):
+                        best.append(min(1.0, own[kind] + 0.35 * any(re.search(pii.CONTEXT[kind], x) for x in around)))
+            if "iban" not in r.spans and "ssn" not in r.spans:
+                assert r.top_score == (pytest.approx(max(best)) if best else None)
+
+
 def test_iban_before_words(spark):
     iban = "DE89 3704 0044 0532 0130 00"
     after = [" Bitte", " OR", " 5 days", " A", ".", " 12345678", " GB82 WEST 1234 5698 7654 32"]
@@ -385,6 +420,15 @@ def test_tokens(both):
         assert order == sorted(order, key=lambda x: (x is not None, x or 0))
 
 
+def test_token_ranges(tmp_path):
+    """Stores that can't be mapped are read by ranges."""
+    import pyarrow.fs as pafs
+
+    (tmp_path / "a").write_bytes(np.arange(50, dtype="<u4").tobytes())
+    r = tokens.Ranges(pafs.LocalFileSystem(), str(tmp_path / "a"), np.dtype("<u4"))
+    assert len(r) == 50 and r[3:7].tolist() == [3, 4, 5, 6] and r[7] == 7 and r[9:9].tolist() == []
+
+
 def test_encoder_cuts():
     import random
 
