@@ -59,6 +59,19 @@ def word_ngrams(c: Column, n: int) -> Column:
     return let(words(c), of)
 
 
+def ngram_hashes(c: Column, n: int) -> Column:
+    """Hashes of a text's word n-grams, repeats included: words are hashed once and neighbours' hashes combined."""
+
+    def of(h: Column) -> Column:
+        out = h
+        for k in range(1, n):
+            later = F.slice(h, k + 1, F.greatest(F.size(h) - k, F.lit(0)))
+            out = F.zip_with(F.slice(out, F.lit(1), F.greatest(F.size(h) - k, F.lit(0))), later, lambda a, b: F.xxhash64(a, b))
+        return out
+
+    return let(F.transform(words(c), lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= n, of(h)).otherwise(F.expr("cast(array() as array<bigint>)")))
+
+
 def unfenced(c: Column) -> Column:
     """Stripped; if it starts with a code fence, without the lines that are fences."""
     t = strip(c)

@@ -16,16 +16,26 @@ HASHES = 128
 VECTORS = 1024
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the folder named in spark.checkpoint.dir and read back, so that its lineage ends."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the one named in spark.checkpoint.dir, which all executors see.
+
+    On a single machine without that setting a local one is made and set; a cluster must name its own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the folder named in spark.checkpoint.dir and read back, so that its lineage ends."""
+    spark = df.sparkSession
+    path = shared_folder(spark, "settled")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -76,30 +86,34 @@ def agreement(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) / F.lit(float(HASHES))
 
 
+def minhash_classes(sigs: DataFrame) -> DataFrame:
+    """(sig, rep, n): one row for each distinct signature, with its smallest key and the number of its keys."""
+    return sigs.groupBy("sig").agg(F.min("key").alias("rep"), F.count("*").alias("n"))
+
+
+def minhash_members(sigs: DataFrame) -> DataFrame:
+    """(key, rep): the class that each key belongs to. Classes are met in parts, so that a hot one spreads."""
+    part = F.pmod(F.xxhash64("key"), F.lit(64)).cast("int").alias("part")
+    salted = sigs.withColumn("part", part)
+    held = salted.groupBy("sig", "part").agg(F.min("key").alias("rep")).groupBy("sig").agg(F.min("rep").alias("rep"), F.collect_set("part").alias("parts"))
+    return salted.join(held.select("sig", "rep", F.explode("parts").alias("part")), ["sig", "part"]).select("key", "rep")
+
+
 def minhash_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b, sim) of keys, a < b, whose agreement is over the threshold; none is missed.
+    """All pairs (a, b, sim), a < b, of classes of equal signatures, by their smallest keys, whose agreement is over the
+    threshold; none is missed. `minhash_members` tells the keys of a class; equal signatures aren't paired with each other.
 
-    At most m positions may differ, so of m + 1 bands one is equal: an equi-join on bands finds every pair. Equal
-    signatures are joined once, as classes, and only their members are paired afterwards.
+    At most m positions may differ, so of m + 1 bands one is equal: an equi-join on bands finds every pair.
     """
     m = HASHES - int(HASHES * threshold + 1e-9) - 1
     bands = max(1, m + 1)
     edges = [HASHES * k // bands for k in range(bands + 1)]
-    classes = settled(sigs.groupBy("sig").agg(F.min("key").alias("rep"), F.count("*").alias("n")))
+    classes = settled(minhash_classes(sigs))
     keyed = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.slice("sig", edges[k] + 1, edges[k + 1] - edges[k])).alias("h")) for k in range(bands)])
     banded = classes.select("rep", F.explode(keyed).alias("x")).select("rep", "x.*")
     met = banded.alias("a").join(banded.alias("b"), ["band", "h"]).filter("a.rep < b.rep").select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
     left, right = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), classes.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-    close = met.join(left, "a").join(right, "b").withColumn("sim", agreement(F.col("sa"), F.col("sb"))).filter(F.col("sim") > threshold)
-    pairs = close.select("a", "b", "sim")
-    members = sigs.join(classes.filter("n > 1"), "sig").select("rep", "key")
-    equal = members.filter("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("sim"))
-    same = equal.alias("x").join(equal.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b"))).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"), F.lit(1.0).alias("sim"))
-    # Pairs of representatives stand for those of all members.
-    own = members.select("rep", "key").unionByName(classes.filter("n = 1").select("rep", F.col("rep").alias("key")))
-    far = pairs.join(own.select(F.col("rep").alias("a"), F.col("key").alias("ka")), "a").join(own.select(F.col("rep").alias("b"), F.col("key").alias("kb")), "b")
-    far = far.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "sim")
-    return far.unionByName(equal).unionByName(same)
+    return met.join(left, "a").join(right, "b").withColumn("sim", agreement(F.col("sa"), F.col("sb"))).filter(F.col("sim") > threshold).select("a", "b", "sim")
 
 
 def greedy_removed(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
@@ -126,9 +140,8 @@ def greedy_removed(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
 def minhash_dedup(df: DataFrame, text: str, key: str, threshold: float = 0.8) -> DataFrame:
     """The rows of df that stay. Classes of equal signatures keep their first row and only representatives are paired."""
     sigs = settled(signatures(df, text, key))
-    classes = sigs.groupBy("sig").agg(F.min("key").alias("key"))
-    pairs = minhash_pairs(settled(classes), threshold)
-    reps = classes.select("key").join(greedy_removed(pairs), "key", "left_anti")
+    classes = settled(minhash_classes(sigs).select("sig", F.col("rep").alias("key")))
+    reps = classes.select("key").join(greedy_removed(minhash_pairs(classes, threshold)), "key", "left_anti")
     return df.join(reps.withColumnRenamed("key", "__kept"), F.col(key) == F.col("__kept"), "left_semi")
 
 
@@ -138,14 +151,27 @@ def cosine_pairs(df: DataFrame, key: str, vector: str, threshold: float, block:
     A stated exact all-pairs job: blocks of vectors meet block by block, each meeting one matrix product in a task of its
     own; a block holds about `block` vectors, whatever their number.
     """
+
+    def meet(one, two, sims, same):
+        i, j = np.nonzero(sims > threshold)
+        a, b, s = one[i], two[j], sims[i, j]
+        ok = a < b if same else np.ones(len(a), bool)
+        a, b, s = a[ok], b[ok], s[ok]
+        return {"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": s}
+
+    kind = df.schema[key].dataType.simpleString()
+    return _blockwise(df, key, vector, block, meet, f"a {kind}, b {kind}, sim double")
+
+
+def _blockwise(df: DataFrame, key: str, vector: str, block: int, meet: Callable, schema: str) -> DataFrame:
+    """meet(keys of one block, keys of another, their cosines, whether they are the same block) for every two blocks."""
     n = df.count()
     blocks = max(1, -(-n // block))
     placed = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("g"))
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
     sent = placed.select("k", "v", "g", F.explode(others).alias("o")).withColumns({"x": F.least("g", "o"), "y": F.greatest("g", "o")})
-    kind = df.schema[key].dataType.simpleString()
 
-    def meet(pdf):
+    def run(pdf):
         import pandas as pd
 
         x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
@@ -154,14 +180,9 @@ def cosine_pairs(df: DataFrame, key: str, vector: str, threshold: float, block:
         unit = np.divide(unit, norm, out=np.zeros_like(unit), where=norm > 0)
         keys, g = pdf["k"].to_numpy(), pdf["g"].to_numpy()
         one, two = np.flatnonzero(g == x), np.flatnonzero(g == y)
-        sims = unit[one] @ unit[two].T
-        i, j = np.nonzero(sims > threshold)
-        a, b, s = keys[one[i]], keys[two[j]], sims[i, j]
-        ok = a < b if x == y else np.ones(len(a), bool)
-        a, b, s = a[ok], b[ok], s[ok]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": s})
+        return pd.DataFrame(meet(keys[one], keys[two], unit[one] @ unit[two].T, x == y))
 
-    return sent.groupBy("x", "y").applyInPandas(meet, f"a {kind}, b {kind}, sim double")
+    return sent.groupBy("x", "y").applyInPandas(run, schema)
 
 
 def embedding_dedup(df: DataFrame, key: str, vector: str, threshold: float = 0.9) -> DataFrame:
@@ -179,10 +200,20 @@ def deduplicate(df: DataFrame, text: str, key: str, threshold: float = 0.9, embe
 
 
 def nearest(df: DataFrame, key: str, vector: str, block: int = VECTORS) -> DataFrame:
-    """(key, cosine to the nearest other vector): low values are holes in the data. Exact, by the blocks of cosine_pairs."""
-    pairs = cosine_pairs(df, key, vector, -1.0 - 1e-9, block)
-    ends = pairs.select(F.col("a").alias("key"), "sim").unionByName(pairs.select(F.col("b").alias("key"), "sim"))
-    return ends.groupBy("key").agg(F.max("sim").alias("nearest"))
+    """(key, cosine to the nearest other vector): low values are holes in the data. Exact, by blocks: of each two blocks
+    every vector brings its best, so twice as many rows as vectors leave a task."""
+
+    def meet(one, two, sims, same):
+        if same:
+            np.fill_diagonal(sims, -np.inf)
+        if not sims.size or sims.shape == (1, 1) and same:
+            return {"key": one[:0], "sim": np.zeros(0)}
+        if same:
+            return {"key": one, "sim": sims.max(axis=1)}
+        return {"key": np.concatenate([one, two]), "sim": np.concatenate([sims.max(axis=1), sims.max(axis=0)])}
+
+    best = _blockwise(df, key, vector, block, meet, f"key {df.schema[key].dataType.simpleString()}, sim double")
+    return best.groupBy("key").agg(F.max("sim").alias("nearest"))
 
 
 def relevance_diversity(spark: SparkSession, df: DataFrame, key: str, vector: str, score: str, k: int, weight: float = 0.5) -> list:

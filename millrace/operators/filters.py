@@ -98,10 +98,21 @@ def exact_duplicates(df: DataFrame, text: Column, pos: str = "_pos") -> DataFram
     return _with_reason(out, F.coalesce(F.col(pos) > F.col("__first"), F.lit(False)), "duplicate").drop("__digest", "__first")
 
 
+#: Benchmark n-grams up to which all tasks get them.
+FEW_GRAMS = 1 << 20
+
+
 def contamination(df: DataFrame, benchmark: DataFrame, text: Column, benchmark_text: Column, n: int = 8, pos: str = "_pos") -> DataFrame:
-    """Rejects samples that share a word n-gram with a benchmark item: a semi join on hashes of n-grams, then ids."""
-    grams = lambda t: F.explode(F.transform(X.word_ngrams(t, n), lambda g: F.xxhash64(g))).alias("g")
-    theirs = benchmark.select(grams(benchmark_text)).distinct()
+    """Rejects samples that share a word n-gram with a benchmark item: a semi join on hashes of n-grams, then ids.
+
+    The benchmark's n-grams are counted and broadcast up to FEW_GRAMS of them, so that those of samples don't move;
+    more are joined by a shuffle.
+    """
+    from millrace.operators.dedup import settled
+
+    grams = lambda t: F.explode(X.ngram_hashes(t, n)).alias("g")
+    theirs = settled(benchmark.select(grams(benchmark_text)).distinct())
+    theirs = F.broadcast(theirs) if theirs.count() <= FEW_GRAMS else theirs
     hit = df.select(F.col(pos).alias("__hit"), grams(text)).join(theirs, "g", "left_semi").select("__hit").distinct()
     out = df.join(hit, F.col(pos) == F.col("__hit"), "left")
     return _with_reason(out, F.col("__hit").isNotNull(), "contaminated").drop("__hit")

@@ -62,8 +62,8 @@ class TopicTree:
         """(task, node_id, path, task_type, language, level): n tasks over the grid, in a seeded order."""
         lo, hi = self.difficulty
         last = planning.leaves(self.nodes(spark)).select("node_id", F.to_json("path").alias("path"))
-        d = lambda name, values: planning.dimension(spark, name, list(values))
-        grid = planning.grid(last, d("task_type", self.task_types), d("language", self.languages), d("level", range(lo, hi + 1)))
+
+        grid = planning.grid(last, task_type=list(self.task_types), language=list(self.languages), level=list(range(lo, hi + 1)))
         return planning.round_robin(grid, n, self.seed + round_)
 
     def generate(self, spark: SparkSession, n: int, round_: int = 0) -> DataFrame:

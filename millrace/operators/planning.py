@@ -3,7 +3,7 @@ they depend on keys and seeds alone, not on partitions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,39 +12,47 @@ def draw(seed: int, *keys: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *keys))
 
 
-def dimension(spark: SparkSession, name: str, values: list) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], [name])
+def grid(df: DataFrame, **dimensions: list) -> DataFrame:
+    """All combinations of the rows of df with the values of each dimension; narrow."""
+    for name, values in dimensions.items():
+        df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return df
 
 
-def grid(*dimensions: DataFrame) -> DataFrame:
-    """All combinations of a few small dimension tables."""
-    out = dimensions[0]
-    for d in dimensions[1:]:
-        out = out.crossJoin(d)
-    return out
+def ranked(df: DataFrame, bucket: Column, order: list, name: str = "_k") -> DataFrame:
+    """df with `name`, 0 onwards in the order of (bucket, order): rows are counted by bucket and ranked within buckets only."""
+    marked = df.withColumn("__part", bucket)
+    sizes = marked.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    inside = marked.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    return inside.join(before, "__part").withColumn(name, (F.col("__before") + F.col("__rank") - 1).cast("long")).drop("__part", "__rank", "__before")
+
+
+def by_hash(df: DataFrame, key: Column, *ties: str) -> DataFrame:
+    """df with `_k`, 0 onwards in the order of a hexadecimal hash, in 4096 buckets."""
+    return ranked(df, F.substring(key, 1, 3), [key, *ties])
 
 
 def shuffled(plan: DataFrame, seed: int) -> DataFrame:
     """plan with `_k`, 0 onwards, in a seeded random order over all its columns."""
-    key = draw(seed, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in plan.columns])
-    return plan.withColumn("_k", (F.row_number().over(Window.orderBy(key, *plan.columns)) - 1).cast("long"))
+    return by_hash(plan, draw(seed, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in plan.columns]), *plan.columns)
 
 
 def round_robin(plan: DataFrame, n: int, seed: int) -> DataFrame:
     """n tasks: the shuffled plan, again and again; `task` counts from 0."""
     numbered = shuffled(plan, seed)
-    size = numbered.agg(F.count("*").alias("size"))
-    tasks = plan.sparkSession.range(n).withColumnRenamed("id", "task").crossJoin(F.broadcast(size)).filter("size > 0")
-    return tasks.withColumn("_k", F.col("task") % F.col("size")).join(numbered, "_k").drop("_k", "size")
+    size = plan.count()
+    tasks = plan.sparkSession.range(n if size else 0).withColumnRenamed("id", "task")
+    return tasks.withColumn("_k", F.col("task") % F.lit(max(size, 1))).join(numbered, "_k").drop("_k")
 
 
 def paired(n: int, items: DataFrame, item_key: str, others: list[str]) -> DataFrame:
-    """(pair, item, other): pair i has item i mod their number, in key order, and other i mod theirs."""
-    indexed = items.withColumn("_k", (F.row_number().over(Window.orderBy(item_key)) - 1).cast("long"))
-    size = F.broadcast(indexed.agg(F.count("*").alias("size")))
-    pairs = items.sparkSession.range(n).withColumnRenamed("id", "pair").crossJoin(size).filter("size > 0")
-    joined = pairs.withColumn("_k", F.col("pair") % F.col("size")).join(indexed, "_k")
-    return joined.withColumn("other", F.element_at(F.array(*[F.lit(o) for o in others]), (F.col("pair") % len(others) + 1).cast("int"))).drop("_k", "size")
+    """(pair, item, other): pair i has item i mod their number, in the order of their numeric key, and other i mod theirs."""
+    indexed = ranked(items, F.coalesce(F.floor(F.col(item_key) / (1 << 16)), F.lit(-(1 << 62))), [item_key])
+    size = items.count()
+    pairs = items.sparkSession.range(n if size else 0).withColumnRenamed("id", "pair")
+    joined = pairs.withColumn("_k", F.col("pair") % F.lit(max(size, 1))).join(indexed, "_k")
+    return joined.withColumn("other", F.element_at(F.array(*[F.lit(o) for o in others]), (F.col("pair") % len(others) + 1).cast("int"))).drop("_k")
 
 
 def subsets(calls: DataFrame, call: str, seeds: DataFrame, key: str, k: int, seed: int) -> DataFrame:
@@ -53,12 +61,11 @@ def subsets(calls: DataFrame, call: str, seeds: DataFrame, key: str, k: int, see
     Seeds are put in one seeded order and a call takes k neighbours from a place of its own in the circle, so no call is
     crossed with all seeds.
     """
-    order = Window.orderBy(draw(seed, F.col(key).cast("string")), key)
-    indexed = seeds.select(key).withColumn("_k", (F.row_number().over(order) - 1).cast("long"))
-    size = F.broadcast(indexed.agg(F.count("*").alias("size")))
+    indexed = by_hash(seeds.select(key), draw(seed, F.col(key).cast("string")), key)
+    size = seeds.count()
     start = F.conv(F.substring(draw(seed + 1, F.col(call).cast("string")), 1, 8), 16, 10).cast("long")
-    wants = calls.select(call).crossJoin(size).filter("size > 0").select(call, F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(k), F.col("size")) - 1)).alias("nth"), "size", start.alias("_s"))
-    return wants.withColumn("_k", (F.col("_s") + F.col("nth")) % F.col("size")).join(indexed, "_k").select(call, key, "nth")
+    wants = calls.select(call, F.explode(F.array(*[F.lit(j).cast("long") for j in range(min(k, size))]) if min(k, size) else F.expr("cast(array() as array<bigint>)")).alias("nth"), start.alias("_s"))
+    return wants.withColumn("_k", (F.col("_s") + F.col("nth")) % F.lit(max(size, 1))).join(indexed, "_k").select(call, key, "nth")
 
 
 def strategy(strategies: list[str], seed: int, key: Column, round_: int = 0) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace import resources
 from millrace.functions import text as X
 from millrace.functions.backends import DeterministicBackend
-from millrace.operators import dedup, filters, reports, transformers
+from millrace.operators import dedup, filters, planning, reports, transformers
 from millrace.pipeline import Pipeline
 from millrace.plans.mapping_queries import PAIRS_SQL, chats, documents, pairs, stripped, table
 from millrace.schema import as_samples
@@ -132,7 +132,7 @@ def minhash_signature(spark, sf_dir):
 
 
 def minhash_pairs(spark, sf_dir):
-    """Pairs of benchmark texts whose agreement is over 0.2."""
+    """Pairs of classes of benchmark texts with equal signatures, whose agreement is over 0.2."""
     sigs = dedup.signatures(table(spark, sf_dir, "benchmark"), "text", "item_id")
     return dedup.minhash_pairs(dedup.settled(sigs), 0.2).select("a", "b", F.round("sim", 6).alias("sim"))
 
@@ -161,21 +161,25 @@ def diverse_sample(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(keys)), "rank int, vec_id bigint")
 
 
+def minhash_members(spark, sf_dir):
+    """The class of equal signatures of each benchmark text."""
+    sigs = dedup.signatures(table(spark, sf_dir, "benchmark"), "text", "item_id")
+    return dedup.minhash_members(dedup.settled(sigs)).select(F.col("key").alias("item_id"), "rep")
+
+
 def pipeline_quota_run(spark, sf_dir):
-    """The first 100 documents that survive safety, duplicate and collapse filters, in rounds: the quota is the operator."""
+    """The first tenth of all documents that survives safety, duplicate and collapse filters, in rounds of a sixth of the
+    table by the order of ids: the quota is the operator. Collapse and duplicates are judged within a round."""
     docs = documents(spark, sf_dir)
+    total = docs.count()
+    numbered = dedup.settled(planning.ranked(docs, F.coalesce(F.floor(F.col("_pos") / (1 << 16)), F.lit(-1)), ["_pos"]))
 
     def generate(_, n, round_):
-        lo = 150 * round_
-        return docs.filter((F.col("_pos") >= lo) & (F.col("_pos") < lo + 150))
+        return numbered.filter(F.floor(F.col("_k") * 6 / F.lit(max(total, 1))) == round_).drop("_k")
 
     run = Pipeline(generate, [], [partial(filters.safety, preset="family_friendly"), lambda d: filters.exact_duplicates(d, F.col("text")), partial(filters.collapse, action="remove")])
-    base = spark.conf.get("spark.checkpoint.dir", None) or ""
-    import tempfile
-    import uuid
-
-    out = f"{base.removeprefix('file://')}/quota-{uuid.uuid4().hex}" if base.startswith(("file:", "/")) else tempfile.mkdtemp(prefix="millrace-")
-    run.run(spark, 100, out)
+    out = dedup.shared_folder(spark, "quota")
+    run.run(spark, total // 10, out)
     return Pipeline.output(spark, out).select(F.col("_pos").alias("doc_id"))
 
 
@@ -187,13 +191,9 @@ def judged_pairs(spark, sf_dir):
 
 def stream_filter_equivalence(spark, sf_dir):
     """Safety-filtered documents by way of a stream of files."""
-    import tempfile
-    import uuid
-
     from millrace.streaming import curate
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = dedup.shared_folder(spark, "stream")
     schema = table(spark, sf_dir, "documents").schema
     # The folder's only table of this name; the stream reads it as files that arrive.
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
@@ -217,9 +217,6 @@ sh AS (SELECT DISTINCT item_id, unnest(CASE WHEN length(t) < 3 THEN [t] ELSE lis
 v AS (SELECT g, i, substr(sha256(unhex(printf('%08x', i)) || encode(g)), 1, 16) AS x FROM (SELECT DISTINCT g FROM sh), range(128) r(i)),
 h AS (SELECT g, i, array_to_string(list_transform([15, 13, 11, 9, 7, 5, 3, 1], lambda p: substr(x, p, 2)), '') AS h FROM v),
 m AS (SELECT item_id, i, min(h) AS h FROM sh JOIN h USING (g) GROUP BY item_id, i)"""
-_ROUND = lambda k: f"""SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS copy, row_number() OVER (PARTITION BY {_PREFIX} ORDER BY doc_id) AS nth,
-    {_PREFIX} AS prefix, {_BAD} AS bad, {k} AS round FROM documents WHERE doc_id >= {150 * k} AND doc_id < {150 * (k + 1)}"""
-
 QUERIES = {
     "survivors_by_language": survivors_by_language,
     "safety_universal": partial(_safety, None),
@@ -230,7 +227,7 @@ QUERIES = {
         f.__name__: f
         for f in (
             safety_conversations, filter_summary_by_reason, quality_threshold, quality_parse, collapse_report, collapse_flag, collapse_remove, exact_dedup, contamination_8gram, structural_checks,
-            strict_validation, empty_responses, minhash_signature, minhash_pairs, minhash_dedup, cosine_pairs, embedding_dedup, nearest_cosine, diverse_sample, pipeline_quota_run, judged_pairs, stream_filter_equivalence,
+            strict_validation, empty_responses, minhash_signature, minhash_pairs, minhash_members, minhash_dedup, cosine_pairs, embedding_dedup, nearest_cosine, diverse_sample, pipeline_quota_run, judged_pairs, stream_filter_equivalence,
         )
     },
 }
@@ -257,10 +254,14 @@ SELECT conv_id, CASE WHEN bool_or({stripped("text")} = '') THEN 'empty_turn' WHE
     "empty_responses": """SELECT CASE WHEN coalesce(text, '') <> '' AND coalesce(nxt, '') = '' THEN 'empty_response' ELSE 'passed' END AS reason, count(*) AS n
 FROM (SELECT text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) GROUP BY 1""",
     "minhash_signature": f"WITH {_SHINGLES} SELECT item_id, md5(string_agg(h, ',' ORDER BY i)) AS sig_md5 FROM m GROUP BY item_id",
-    "minhash_pairs": f"WITH {_SHINGLES} SELECT a.item_id AS a, b.item_id AS b, round(count(*) / 128.0::DOUBLE, 6) AS sim FROM m a JOIN m b ON a.i = b.i AND a.h = b.h AND a.item_id < b.item_id GROUP BY 1, 2 HAVING count(*) > 0.2 * 128",
+    "minhash_members": f"WITH {_SHINGLES}, g AS (SELECT item_id, md5(string_agg(h, ',' ORDER BY i)) AS sig FROM m GROUP BY item_id) SELECT item_id, min(item_id) OVER (PARTITION BY sig) AS rep FROM g",
+    "minhash_pairs": f"WITH {_SHINGLES}, g AS (SELECT item_id, md5(string_agg(h, ',' ORDER BY i)) AS sig FROM m GROUP BY item_id), r AS (SELECT min(item_id) AS item_id FROM g GROUP BY sig) SELECT a.item_id AS a, b.item_id AS b, round(count(*) / 128.0::DOUBLE, 6) AS sim FROM m a JOIN m b ON a.i = b.i AND a.h = b.h AND a.item_id < b.item_id WHERE a.item_id IN (FROM r) AND b.item_id IN (FROM r) GROUP BY 1, 2 HAVING count(*) > 0.2 * 128",
     "cosine_pairs": f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} > 0.3",
     "nearest_cosine": f"SELECT a.vec_id, round(max({_COS}), 6) AS nearest FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY a.vec_id",
-    "pipeline_quota_run": f"WITH r AS ({_ROUND(0)} UNION ALL {_ROUND(1)} UNION ALL {_ROUND(2)} UNION ALL {_ROUND(3)} UNION ALL {_ROUND(4)} UNION ALL {_ROUND(5)}) SELECT doc_id FROM r WHERE copy = 1 AND NOT bad AND (nth <= 3 OR prefix = '') ORDER BY round, doc_id LIMIT 100",
+    "pipeline_quota_run": f"""WITH n AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) * 6 // count(*) OVER () AS round, count(*) OVER () AS total FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY round, text ORDER BY doc_id) AS copy, row_number() OVER (PARTITION BY round, {_PREFIX} ORDER BY doc_id) AS nth, {_PREFIX} AS prefix, {_BAD} AS bad FROM n),
+k AS (SELECT doc_id, total, row_number() OVER (ORDER BY round, doc_id) AS place FROM r WHERE copy = 1 AND NOT bad AND (nth <= 3 OR prefix = ''))
+SELECT doc_id FROM k WHERE place <= total // 10""",
     "judged_pairs": f"""WITH {PAIRS_SQL}, j AS (SELECT pos, CASE WHEN coalesce(instruction, '') <> '' AND coalesce(response, '') <> '' THEN
   (CAST('0x' || substr(md5('quality_filter:' || 'Rate the answer from 0 to 1 as JSON with score and reason.' || chr(10) || 'Task: ' || instruction || chr(10) || 'Answer: ' || response), 1, 6) AS BIGINT) % 101) / 100.0::DOUBLE END AS quality_score FROM p)
 SELECT pos, quality_score, quality_score IS NULL OR quality_score >= 0.7 AS passed FROM j""",

@@ -67,8 +67,7 @@ def health_scarce_topics(spark, sf_dir):
 def leaf_plan(spark, sf_dir):
     """The shuffled grid of nations, task types, languages and levels."""
     leaf = table(spark, sf_dir, "nation").select(F.col("n_name").alias("leaf"))
-    d = lambda n, v: planning.dimension(spark, n, v)
-    grid = planning.grid(leaf, d("task_type", ["qa", "explain"]), d("language", ["en", "de"]), d("level", [1, 2, 3]))
+    grid = planning.grid(leaf, task_type=["qa", "explain"], language=["en", "de"], level=[1, 2, 3])
     return planning.shuffled(grid, 7).select("leaf", "task_type", "language", F.col("level").cast("bigint").alias("level"), F.col("_k").alias("k"))
 
 

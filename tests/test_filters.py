@@ -115,7 +115,9 @@ def test_minhash_is_exact_and_greedy(spark, threshold):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
     s = dedup.settled(dedup.signatures(df, "t", "k"))
     assert all([x % 2**64 for x in r.sig] == sigs[r.key] for r in s.collect())
-    want = {(i, j) for j in range(len(texts)) for i in range(j) if sim(i, j) > threshold}
+    rep = {i: next(j for j in range(len(texts)) if sigs[j] == sigs[i]) for i in range(len(texts))}
+    assert {r.key: r.rep for r in dedup.minhash_members(s).collect()} == rep
+    want = {(i, j) for j in set(rep.values()) for i in set(rep.values()) if i < j and sim(i, j) > threshold}
     assert {(r.a, r.b) for r in dedup.minhash_pairs(s, threshold).collect()} == want
     assert sorted(r.k for r in dedup.minhash_dedup(df, "t", "k", threshold).collect()) == kept
 
@@ -130,6 +132,9 @@ def test_cosine(spark):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k int, v array<double>")
     want = {(i, j) for j in range(90) for i in range(j) if sim[i, j] > 0.8}
     assert {(r.a, r.b) for r in dedup.cosine_pairs(df, "k", "v", 0.8, block=20).collect()} == want
+    best = {i: max(sim[i, j] for j in range(90) if j != i) for i in range(90)}
+    assert {r.key: r.nearest for r in dedup.nearest(df, "k", "v", block=20).collect()} == pytest.approx(best)
+    assert dedup.nearest(df.limit(1), "k", "v").count() == 0
     kept = []
     for i in range(90):
         if all(sim[i, j] <= 0.8 for j in kept):
