@@ -2,7 +2,7 @@
 
 A word is a run of letters and digits in lower case (all but ASCII marks and blanks counts as letter); a character of
 three bytes from U+3000 to U+9FFF is a word of its own. A mark stands before and after each text. Counting tasks turn
-words, pairs and whole texts into 52-bit hashes and hand sorted blocks of them, cut by leading bits, to the shuffle; each
+words, pairs and whole texts into 46-bit hashes and hand sorted blocks of them, cut by leading bits, to the shuffle; each
 reduce task adds up the blocks of its parts and writes sorted arrays. All words and pairs of all documents are counted.
 
 A text is scored by what all other texts say: its own counts, times the number of its copies, are taken from the
@@ -30,7 +30,7 @@ from millrace.llm.common import filesystem, materialise, shared_dir, slices, utf
 MU = 20.0
 #: Bytes of text at a time, and hashes that a counting task holds before it hands them on.
 STEP, HELD = 1 << 20, 1 << 22
-_BITS = 52
+_BITS = 46
 _WORD, _PAIR, _TEXT = 0, 1, 2
 _R = 0x9E3779B97F4A7C15
 _RI = pow(_R, -1, 1 << 64)
