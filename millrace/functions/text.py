@@ -142,3 +142,25 @@ def repaired_json(text: str):
         if ok:
             return value
     raise ValueError("no JSON value in the reply")
+
+
+def repaired(c: Column) -> Column:
+    """The JSON value in each reply by repaired_json, as JSON text; null where nothing can be read.
+
+    Replies come from calls that take a thousand times as long, so the repair runs in Python, by batches.
+    """
+    import pandas as pd
+
+    def run(replies):
+        import json
+
+        def one(t):
+            try:
+                return None if t is None else json.dumps(repaired_json(t), ensure_ascii=False)
+            except ValueError:
+                return None
+
+        return replies.map(one)
+
+    run.__annotations__ = {"replies": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(c)

@@ -13,17 +13,19 @@ from pyspark.sql import functions as F
 
 from millrace import resources
 from millrace.functions.backends import Backend
-from millrace.functions.text import strip, unfenced
+from millrace.functions.text import repaired, strip, unfenced
 from millrace.operators import dedup, planning
 from millrace.operators.dedup import settled
 from millrace.schema import as_samples, truthy
 
 
 def listed(reply: Column) -> Column:
-    """A reply as a list of texts: a JSON list's items, else the reply as its only item; blank items are dropped."""
-    t = unfenced(reply)
-    many = F.from_json(t, "array<string>")
-    return F.filter(F.transform(F.coalesce(many, F.array(t)), strip), lambda x: F.coalesce(x != "", F.lit(False)))
+    """A reply as a list of texts: a JSON list's items (of a cut-off list those that are whole), another JSON value as the
+    only one, else the reply itself; blank items are dropped."""
+    v = repaired(reply)
+    many = F.when(F.startswith(v, F.lit("[")), v).otherwise(F.concat(F.lit("["), v, F.lit("]")))
+    items = F.when(v.isNotNull(), F.from_json(many, "array<string>")).when(reply.isNotNull(), F.array(unfenced(reply)))
+    return F.filter(F.transform(items, strip), lambda x: F.coalesce(x != "", F.lit(False)))
 
 
 @dataclass

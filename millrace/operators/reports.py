@@ -210,6 +210,14 @@ def cost(usage: DataFrame, price_in: Column | None, price_out: Column | None) ->
     return rows.select(F.when(F.col("__all") == 1, "total").otherwise(F.col("stage")).alias("stage"), "prompt_tokens", "completion_tokens", "cost", F.round(100.0 * tokens / whole, 1).alias("pct"))
 
 
+def cost_lines(costs: DataFrame) -> list[str]:
+    """The report of `cost` as text: a line for each stage with its tokens, their share and its cost, by tokens, and the total."""
+    rows = sorted(costs.collect(), key=lambda r: (r.stage == "total", -(r.prompt_tokens + r.completion_tokens), r.stage or ""))
+    money = lambda r: "cost unknown" if r.cost is None else f"${r.cost:.4f}"
+    tokens = lambda r: f"{r.stage}: {r.prompt_tokens + r.completion_tokens} tokens"
+    return [f"{tokens(r)}, {money(r)}" if r.stage == "total" else f"{tokens(r)} ({r.pct:.1f} %), {money(r)}" for r in rows]
+
+
 def estimate(n: int, factor: float = 1.0, evolve: bool = False, responses: bool = True, quality: bool = False, per_call: int = 1000) -> dict:
     """Calls and tokens that a run would take."""
     samples = math.ceil(n * factor)

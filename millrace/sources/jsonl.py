@@ -71,6 +71,25 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "append", nulls: bool = Tr
     return seen.get["n"]
 
 
+class JsonlWriter:
+    """Output in JSON Lines that a run appends to: a fresh one empties the folder, a resumed one counts the lines there."""
+
+    def __init__(self, spark: SparkSession, path: str, resume: bool = False, nulls: bool = True):
+        self.path, self.nulls, self.count = path, nulls, 0
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(there):
+            if resume:
+                self.count = spark.read.text(path).filter(strip(F.col("value")) != "").count()
+            else:
+                fs.delete(there, True)
+
+    def append(self, df: DataFrame) -> int:
+        """Adds the rows of df, one line each, and returns the number of lines that are there now."""
+        self.count += write_jsonl(df, self.path, "append", self.nulls)
+        return self.count
+
+
 def write_file(df: DataFrame, path: str, order: str | None = "_pos", nulls: bool = True) -> int:
     """Writes df as one JSON Lines file in order, streamed through the driver row by row. For small results."""
     ordered = df.orderBy(order) if order and order in df.columns else df
