@@ -227,25 +227,25 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 _OUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+_FOREIGN = T.StructField("foreign", T.BooleanType())
 
 
-def identify(docs: DataFrame, model: Classifier, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all by default) of docs with lang_pred and score; narrow."""
+def identify(docs: DataFrame, model: Classifier, text_col: str = "text", keep: list[str] | None = None, foreign: bool = False) -> DataFrame:
+    """The columns `keep` (all by default) of docs with lang_pred and score, and with `foreign` whether a text is unlike all
+    learned languages; narrow."""
 
     def factory():
         def kernel(batch):
-            found, scores = model.predict(batch.column(0).to_pylist())
-            return [pa.array(found, pa.string()), pa.array(scores, pa.float64())]
+            texts = batch.column(0).to_pylist()
+            found, scores = model.predict(texts)
+            out = [pa.array(found, pa.string()), pa.array(scores, pa.float64())]
+            return [*out, pa.array(model.foreign(texts), pa.bool_())] if foreign else out
 
         return kernel
 
-    return arrow_columns(docs, factory, _OUT, docs.columns if keep is None else keep, [text_col])
+    return arrow_columns(docs, factory, T.StructType([*_OUT, _FOREIGN]) if foreign else _OUT, docs.columns if keep is None else keep, [text_col])
 
 
 def foreign(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
-    """docs with the column `foreign`: texts unlike all learned languages; narrow."""
-
-    def factory():
-        return lambda batch: [pa.array(model.foreign(batch.column(0).to_pylist()), pa.bool_())]
-
-    return arrow_columns(docs, factory, T.StructType([T.StructField("foreign", T.BooleanType())]), docs.columns, [text_col])
+    """docs with the column `foreign` alone."""
+    return identify(docs, model, text_col, foreign=True).drop("lang_pred", "score")

@@ -33,7 +33,7 @@ from millrace.llm.common import filesystem, materialise, publish, shared_dir, sl
 
 END_ID = 2
 #: Words in each generation of an encoder's memory, words that the model takes at once, and bytes of text at a time.
-REMEMBER, JOINED, STEP = 500_000, 128, 4 << 20
+REMEMBER, JOINED, STEP = 400_000, 128, 4 << 20
 #: Documents that are read back at a time.
 READ = 1024
 _NULL = -(1 << 63)
