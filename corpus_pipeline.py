@@ -38,8 +38,8 @@ def _back(df: DataFrame, names: dict[str, str]) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.Classifier(langid.training_rows(docs))
     work, names = _aside(docs)
-    found = langid.identify(langid.foreign(work, model, names["text"]).filter(~F.col("foreign")), model, names["text"])
-    return _back(found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), names)
+    found = langid.identify(work, model, names["text"], foreign=True)
+    return _back(found.filter(~F.col("foreign") & (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
