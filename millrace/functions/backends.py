@@ -35,7 +35,8 @@ def tokens(text: Column) -> Column:
 class DeterministicBackend:
     """Replies that are a function of stage and prompt alone, as column expressions: for tests and rehearsals.
 
-    Judges give a score of the prompt's digest; list stages a JSON list; all else a line that ends in the digest.
+    Judges give a score of the prompt's digest; list stages a JSON list; the topic tree's stages objects, plain, fenced,
+    talked around and cut off, some of them wrong; all else a line that ends in the digest.
     """
 
     model: str = "deterministic"
@@ -48,6 +49,18 @@ class DeterministicBackend:
             return F.concat(F.lit('{"score": '), (F.pmod(number, F.lit(101)) / 100.0).cast("string"), F.lit(', "reason": "drawn"}'))
         if stage in ("topic_tree", "persona_expand", "seed_dataset"):
             return F.to_json(F.transform(F.sequence(F.lit(1), F.lit(self.items)), lambda i: F.concat(F.lit(f"{stage} "), F.substring(digest, i * 4 - 3, F.lit(4)))))
+        if stage == "topic_tree.dimension":
+            index = lambda i: F.when(F.pmod(number, F.lit(16)) == 5, F.lit(0)).otherwise(i - 1).cast("string")
+            told = F.transform(F.sequence(F.lit(1), F.lit(self.items)), lambda i: F.concat(F.lit('"v'), F.substring(digest, i * 4 - 3, F.lit(4)), F.lit('": ['), index(i), F.lit("]")))
+            whole = F.concat(F.lit('{"dimension": "axis '), F.substring(digest, 1, 2), F.lit('", "attributes": {'), F.array_join(told, ", "))
+            kind = F.pmod(number, F.lit(4))
+            return F.when(kind == 0, F.concat(F.lit("```json\n"), whole, F.lit("}}\n```"))).when(kind == 1, whole).when(kind == 2, F.concat(F.lit("So: "), whole, F.lit("}} I think."))).otherwise(F.concat(whole, F.lit("}}")))
+        if stage == "topic_tree.expand":
+            more, kind = F.concat(F.lit('["e'), F.substring(digest, 1, 4), F.lit('"]')), F.pmod(number, F.lit(4))
+            object_ = lambda word: F.concat(F.lit('{"attributes": '), more, F.lit(f', "completeness": "{word}"}}'))
+            return F.when(kind == 0, F.lit("null")).when(kind == 1, object_("complete")).when(kind == 2, object_("infinite")).otherwise(more)
+        if stage == "topic_tree.instructions":
+            return F.concat(F.lit('["do '), digest, F.lit('"]'))
         if stage == "safety_filter":
             return F.when(F.pmod(number, F.lit(20)) == 0, F.lit('{"safe": false}')).otherwise(F.lit('{"safe": true}'))
         return F.concat(F.lit(f"{stage} reply "), digest)

@@ -121,6 +121,15 @@ def persona_expansion_rounds(spark, sf_dir):
     return people.expanded(first).groupBy("hop").agg(F.count("*").alias("n"), F.countDistinct("persona").alias("personas")).select(F.col("hop").cast("bigint").alias("hop"), "n", "personas")
 
 
+_TOPICS = generators.TopicTree(DeterministicBackend(items=2), domain="trade", depth=3, most=4, pivots=2, task_types=("qa", "explain"), difficulty=(1, 2))
+
+
+def topic_tree_nodes(spark, sf_dir):
+    """The tree that the deterministic backend's replies make."""
+    told = F.array_join(F.transform("path", lambda x: F.concat(x["dimension"], F.lit("="), x["attribute_value"])), ", ")
+    return _TOPICS.nodes(spark).select("node_id", "parent_id", F.col("depth").cast("bigint").alias("depth"), told.alias("path"), "open", F.array_join("attributes", ",").alias("attributes"))
+
+
 def topic_tree_samples(spark, sf_dir):
     source = generators.TopicTree(DeterministicBackend(items=2), domain="trade", depth=2, task_types=("qa", "explain"), difficulty=(1, 2))
     return source.generate(spark, 20).select("_pos", "instruction", "topic", "task_type", "language", "difficulty")
@@ -197,11 +206,32 @@ _TREE = """p AS (
   SELECT '2:' || c_custkey, '1:' || c_nationkey, 2, r_name || ' > ' || n_name || ' > ' || c_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 _BACK = lambda stage, prompt: f"md5('{stage}:' || {prompt})"
 
+
+def _level_sql(k: int) -> str:
+    """Level k of the deterministic topic tree: pivots, a dimension, its completed values, children."""
+    sub = "'Domain ''trade''' || CASE WHEN path = '' THEN '' ELSE ' where ' || path END"
+    cut = lambda d, i: f"substr({d}, {4 * i + 1}, 4)"
+    number = lambda d: f"CAST('0x' || substr({d}, 1, 6) AS BIGINT)"
+    return f"""p{k} AS (SELECT *, {sub} AS sub, md5('topic_tree:' || 'Name 2 different instances of ' || {sub} || ' as a JSON list of strings.') AS d FROM l{k - 1}),
+q{k} AS (SELECT node_id, path, excluded, sub, md5('topic_tree.dimension:' || 'Instances of ' || sub || ':' || chr(10) || '[0] topic_tree ' || {cut("d", 0)} || chr(10) || '[1] topic_tree ' || {cut("d", 1)} || chr(10)
+  || 'Give one dimension that tells them apart, none of ' || CASE WHEN len(excluded) = 0 THEN 'none' ELSE array_to_string(list_sort(excluded), ', ') END || ', as a JSON object with dimension and attributes.') AS d FROM p{k}),
+s{k} AS (SELECT node_id, path, excluded, sub, 'axis ' || substr(d, 1, 2) AS dim, ['v' || {cut("d", 0)}, 'v' || {cut("d", 1)}] AS attrs FROM q{k}
+  WHERE {number("d")} % 16 <> 5 AND {cut("d", 0)} <> {cut("d", 1)} AND NOT list_contains(excluded, 'axis ' || substr(d, 1, 2))),
+e{k} AS (SELECT *, false AS done, 0 AS k FROM s{k} UNION ALL
+  SELECT node_id, path, excluded, sub, dim, CASE WHEN {number("d")} % 4 = 0 OR list_contains(attrs, 'e' || {cut("d", 0)}) THEN attrs ELSE list_append(attrs, 'e' || {cut("d", 0)}) END, {number("d")} % 4 <> 2 OR list_contains(attrs, 'e' || {cut("d", 0)}), k + 1
+  FROM (SELECT *, md5('topic_tree.expand:' || 'Dimension ' || dim || ' of ' || sub || ' has ["' || array_to_string(attrs, '","') || '"]. Give what is missing as JSON, or null.') AS d FROM e{k} WHERE NOT done AND len(attrs) < {_TOPICS.most} AND k < 10)),
+f{k} AS (SELECT * FROM e{k} QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY k DESC) = 1),
+l{k} AS (SELECT node_id || '.' || (i - 1) AS node_id, node_id AS parent_id, {k} AS depth, concat(path, CASE WHEN path = '' THEN '' ELSE ', ' END, dim, '=', attrs[i]) AS path, list_append(excluded, dim) AS excluded, false AS open, NULL::VARCHAR AS attributes
+  FROM (SELECT *, unnest(range(1, len(attrs) + 1)) AS i FROM f{k} WHERE len(attrs) <= {_TOPICS.most})
+  UNION ALL SELECT node_id || '.0', node_id, {k}, path, list_append(excluded, dim), true, array_to_string(attrs[1:{_TOPICS.most}], ',') FROM f{k} WHERE len(attrs) > {_TOPICS.most})"""
+
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         inspect_population, inspect_distributions, inspect_top_values, quality_quantiles, health_coverage, health_topics_top10, health_difficulty_skew, health_missing_topics, health_safety, health_scarce_topics,
-        leaf_plan, round_robin_tasks, round_robin_personas, few_shot_selection, rewrite_round_robin, evol_strategy_assignment, tree_paths, tree_leaves, tree_subspaces, persona_expansion_rounds, topic_tree_samples,
+        leaf_plan, round_robin_tasks, round_robin_personas, few_shot_selection, rewrite_round_robin, evol_strategy_assignment, tree_paths, tree_leaves, tree_subspaces, persona_expansion_rounds, topic_tree_nodes, topic_tree_samples,
         seed_dataset_samples, evolved_instructions, answered_instructions, rewritten_texts, cost_by_stage, dry_run_estimate, gap_analysis, cross_lingual_gap, dataset_compare, best_of_source, audit,
     )
 }
@@ -218,6 +248,8 @@ FROM (SELECT lang, CAST(n_chars AS DOUBLE) AS v, row_number() OVER (PARTITION BY
     "health_missing_topics": "SELECT lower(r_name) AS topic FROM region EXCEPT SELECT source FROM documents",
     "health_safety": f"WITH {_LABELLED} SELECT count(*) AS total, count(*) FILTER (WHERE NOT safety_passed) AS blocked, count(quality_score) AS scored FROM s",
     "health_scarce_topics": "SELECT topic, n FROM (SELECT source AS topic, count(*) AS n, row_number() OVER (ORDER BY count(*), source) AS r, count(*) OVER () AS t FROM documents WHERE source <> '' GROUP BY source) WHERE r <= ceil(t * 0.1)",
+    "topic_tree_nodes": "WITH RECURSIVE l0 AS (SELECT '0' AS node_id, NULL::VARCHAR AS parent_id, 0 AS depth, '' AS path, []::VARCHAR[] AS excluded, false AS open, NULL::VARCHAR AS attributes),\n"
+    + ",\n".join(_level_sql(k) for k in range(1, _TOPICS.depth + 1)) + "\n" + " UNION ALL ".join(f"SELECT node_id, parent_id, depth::BIGINT AS depth, path, open, attributes FROM l{k}" for k in range(_TOPICS.depth + 1)),
     "leaf_plan": f"""SELECT leaf, task_type, language, level, row_number() OVER (ORDER BY {_draw(7, "leaf", "task_type", "language", "CAST(level AS VARCHAR)")}, leaf, task_type, language, level) - 1 AS k
 FROM (SELECT n_name AS leaf FROM nation), (SELECT unnest(['qa', 'explain']) AS task_type), (SELECT unnest(['en', 'de']) AS language), (SELECT unnest([1, 2, 3])::BIGINT AS level)""",
     "round_robin_tasks": f"SELECT t.range AS task, leaf FROM range(17) t JOIN (SELECT r_name AS leaf, row_number() OVER (ORDER BY {_draw(7, 'r_name')}, r_name) - 1 AS k, count(*) OVER () AS n FROM region) ON t.range % n = k",

@@ -66,7 +66,7 @@ TEMPLATES: dict[str, str] = {
     "generators.persona_expand": "Name people close to this person, as a JSON list of one-sentence descriptions.\n\n{{persona}}",
     "generators.persona_questions": "You are {{persona}}. Ask one question about {{domain}} in {{language}}.",
     "generators.seed_instruct": "Here are some tasks:\n{{examples}}\nWrite {{n}} new ones as a JSON list of strings.",
-    "generators.topic_tree": "Divide this subject: {{subspace}}.",
+    "generators.topic_tree": "Name {{n}} different instances of {{subspace}} as a JSON list of strings.",
     "generators.topic_tree_dimension": "Instances of {{subspace}}:\n{{pivots}}\nGive one dimension that tells them apart, none of {{excluded}}, as a JSON object with dimension and attributes.",
     "generators.topic_tree_expand": "Dimension {{dimension}} of {{subspace}} has {{attributes}}. Give what is missing as JSON, or null.",
     "generators.topic_tree_instructions": "Write {{n}} {{task_type}} tasks at level {{difficulty}} in {{language}} on {{constraints}}, as a JSON list.",

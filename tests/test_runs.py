@@ -2,6 +2,7 @@
 
 import json
 import threading
+from collections import Counter
 from functools import partial
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -35,6 +36,17 @@ def test_quota(spark, tmp_path):
         p.run(spark, 30, str(tmp_path / "out"), {"a": 1}, resume=True)
 
 
+def test_jsonl_writer(spark, tmp_path):
+    path = str(tmp_path / "out.jsonl")
+    rows = spark.createDataFrame([(1, "é"), (2, None)], "a int, b string")
+    w = jsonl.JsonlWriter(spark, path)
+    assert w.count == 0 and w.append(rows) == 2 and w.append(rows) == 4
+    again = jsonl.JsonlWriter(spark, path, resume=True)
+    assert again.count == 4 and again.append(rows.limit(1)) == 5
+    assert sorted(r.value for r in spark.read.text(path).collect())[-1] == '{"a":2,"b":null}'
+    assert jsonl.JsonlWriter(spark, path).count == 0 and jsonl.JsonlWriter(spark, path, resume=True).count == 0
+
+
 def test_quota_of_nothing(spark, tmp_path):
     p = Pipeline(lambda s, n, k: source(s, 0, k))
     assert p.run(spark, 5, str(tmp_path / "o"))["written"] == 0
@@ -61,14 +73,68 @@ def test_transformers(spark):
     assert used.count() == 4 and used.filter("stage = 'quality_filter' AND prompt_tokens > 0").count() == 4
 
 
+class Told:
+    """Replies by stage, the same for every prompt; a function of the number of the call where it is one."""
+
+    def __init__(self, **replies):
+        self.replies, self.calls = {k.replace("_to_", "."): v for k, v in replies.items()}, Counter()
+
+    def complete(self, df, prompt, stage, out="reply", role="model"):
+        self.calls[stage] += 1
+        told = self.replies[stage]
+        content = F.lit(told(self.calls[stage]) if callable(told) else told)
+        return df.withColumn(out, F.struct(F.when(prompt.isNotNull(), content).alias("content"), F.lit(None).cast("string").alias("error")))
+
+
+KINDS = '{"dimension": "kind", "attributes": {"x": [0], "y": [1]}}'
+
+
+def _tree(spark, **settings):
+    replies = {"topic_tree": '["a", "b"]', "topic_tree_to_dimension": KINDS, "topic_tree_to_expand": "null", "topic_tree_to_instructions": '["one", "two"]'} | {k: settings.pop(k) for k in list(settings) if k.startswith("topic_tree")}
+    tree = generators.TopicTree(Told(**replies), "d", **({"depth": 1, "task_types": ("qa",), "difficulty": (1, 1)} | settings))
+    return tree, tree.nodes(spark).filter("depth > 0").orderBy("node_id").collect()
+
+
+@pytest.mark.parametrize("reply", [KINDS, "```json\n" + KINDS + "\n```", "Well: " + KINDS + " so.", KINDS[:-2]])
+def test_tree_reads_replies(spark, reply):
+    """Whole, fenced, talked around and cut off objects; a dimension is used once, so the next level stays without one."""
+    tree, nodes = _tree(spark, topic_tree_to_dimension=reply, depth=3)
+    assert [(r.node_id, [tuple(x) for x in r.path], r.open) for r in nodes] == [("0.0", [("kind", "x")], False), ("0.1", [("kind", "y")], False)]
+    assert tree.backend.calls["topic_tree.dimension"] == 1 + tree.attempts
+    assert sorted(r.topic for r in tree.generate(spark, 2).collect()) == ["x", "x", "y", "y"]
+
+
+def test_tree_refuses(spark):
+    for bad in ('{"dimension": "k", "attributes": {"x": [0, 1], "y": [1]}}', '{"dimension": "k", "attributes": {"x": [0]}}', '["x", "y"]', "no", '{"attributes": {"x": [0], "y": [1]}}'):
+        tree, nodes = _tree(spark, topic_tree_to_dimension=bad)
+        assert not nodes and tree.backend.calls["topic_tree.dimension"] == 5
+    assert not _tree(spark, topic_tree="no list")[1] and not _tree(spark, topic_tree="[]")[1]
+    tree, nodes = _tree(spark, topic_tree_to_dimension=lambda k: "no" if k < 3 else KINDS)
+    assert len(nodes) == 2 and tree.backend.calls["topic_tree.dimension"] == 3
+    assert [r.topic for r in _tree(spark, topic_tree="no")[0].generate(spark, 1).collect()] == ["d", "d"]
+
+
+def test_tree_completes(spark):
+    more = lambda word: lambda k: f'{{"attributes": ["x", "n{k}"], "completeness": "{word}"}}'
+    names = lambda nodes: [r.path[-1].attribute_value for r in nodes]
+    assert names(_tree(spark, topic_tree_to_expand='["z", "x"]')[1]) == ["x", "y", "z"]
+    assert names(_tree(spark, topic_tree_to_expand=more("complete"))[1]) == ["x", "y", "n1"]
+    assert names(_tree(spark, topic_tree_to_expand=lambda k: more("infinite")(min(k, 3)))[1]) == ["x", "y", "n1", "n2", "n3"]
+    tree, nodes = _tree(spark, topic_tree_to_expand=more("infinite"), most=4)
+    assert names(nodes) == ["x", "y", "n1", "n2"] and tree.backend.calls["topic_tree.expand"] == 2
+    tree, nodes = _tree(spark, topic_tree_to_expand='["p", "q", "r", "s"]', most=3)
+    assert [(r.open, r.dimension, r.attributes, r.path) for r in nodes] == [(True, "kind", ["x", "y", "p"], [])]
+    made = tree.generate(spark, 40)
+    assert {r.topic for r in made.collect()} == {"x", "y", "p"} and {r.topic for r in made.collect()} == {r.topic for r in tree.generate(spark, 40).collect()}
+
+
 def test_generators(spark):
     model = DeterministicBackend(items=2)
     tree = generators.TopicTree(model, "d", depth=2, task_types=("qa",), difficulty=(1, 2))
-    assert tree.nodes(spark).groupBy("depth").count().orderBy("depth").collect()[2][1] == 4
+    by = {r.node_id: r for r in tree.nodes(spark).collect()}
+    assert len(by) > 6 and all(r.parent_id is None or by[r.parent_id].depth == r.depth - 1 for r in by.values())
     rows = tree.generate(spark, 11).orderBy("_pos").collect()
-    assert len(rows) == 11 and {r.difficulty for r in rows} == {1, 2} and all(" > " in r.topic for r in rows)
-    wide = generators.TopicTree(DeterministicBackend(items=3), "d", depth=1, most=2)
-    assert [r.open for r in wide.nodes(spark).orderBy("depth").collect()] == [False, True]
+    assert len(rows) == 11 and {r.difficulty for r in rows} == {1, 2} and any(" > " in r.topic for r in rows)
     seeds = generators.SeedDataset(DeterministicBackend(), source(spark, 9, 0))
     made = seeds.generate(spark, 7)
     assert made.count() == 7 and made.filter("source_id = 'seed_dataset'").count() == 7
