@@ -244,8 +244,3 @@ def identify(docs: DataFrame, model: Classifier, text_col: str = "text", keep: l
         return kernel
 
     return arrow_columns(docs, factory, T.StructType([*_OUT, _FOREIGN]) if foreign else _OUT, docs.columns if keep is None else keep, [text_col])
-
-
-def foreign(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
-    """docs with the column `foreign` alone."""
-    return identify(docs, model, text_col, foreign=True).drop("lang_pred", "score")
