@@ -212,6 +212,8 @@ _STAGED = f"""s AS (
   FROM documents d LEFT JOIN labels l USING (doc_id)),
 r AS (SELECT CASE WHEN copy > 1 THEN 'duplicate' WHEN bad THEN 'safety_blocked' WHEN quality < 0.7 THEN 'low_quality'
   WHEN nth > 3 AND prefix <> '' THEN 'template_collapse' ELSE 'passed' END AS reason FROM s)"""
+_GREEDY = lambda items, pairs: f"""{pairs}, n AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM ({items})), b AS (SELECT b AS id, list(a) AS before FROM near GROUP BY b),
+k AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL SELECT k.n + 1, CASE WHEN b.before IS NOT NULL AND list_has_any(kept, b.before) THEN kept ELSE list_append(kept, n.id) END FROM k JOIN n ON n.n = k.n + 1 LEFT JOIN b ON b.id = n.id)"""
 _SHINGLES = """t AS (SELECT item_id, trim(lower(text)) AS t FROM benchmark),
 sh AS (SELECT DISTINCT item_id, unnest(CASE WHEN length(t) < 3 THEN [t] ELSE list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3)) END) AS g FROM t),
 v AS (SELECT g, i, substr(sha256(unhex(printf('%08x', i)) || encode(g)), 1, 16) AS x FROM (SELECT DISTINCT g FROM sh), range(128) r(i)),
@@ -256,6 +258,9 @@ FROM (SELECT text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt F
     "minhash_signature": f"WITH {_SHINGLES} SELECT item_id, md5(string_agg(h, ',' ORDER BY i)) AS sig_md5 FROM m GROUP BY item_id",
     "minhash_members": f"WITH {_SHINGLES}, g AS (SELECT item_id, md5(string_agg(h, ',' ORDER BY i)) AS sig FROM m GROUP BY item_id) SELECT item_id, min(item_id) OVER (PARTITION BY sig) AS rep FROM g",
     "minhash_pairs": f"WITH {_SHINGLES}, g AS (SELECT item_id, md5(string_agg(h, ',' ORDER BY i)) AS sig FROM m GROUP BY item_id), r AS (SELECT min(item_id) AS item_id FROM g GROUP BY sig) SELECT a.item_id AS a, b.item_id AS b, round(count(*) / 128.0::DOUBLE, 6) AS sim FROM m a JOIN m b ON a.i = b.i AND a.h = b.h AND a.item_id < b.item_id WHERE a.item_id IN (FROM r) AND b.item_id IN (FROM r) GROUP BY 1, 2 HAVING count(*) > 0.2 * 128",
+    "embedding_dedup": "WITH RECURSIVE " + _GREEDY("SELECT vec_id AS id FROM embeddings", f"near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} > 0.4)") + " SELECT unnest(kept) AS vec_id FROM k WHERE n = (SELECT max(n) FROM k)",
+    "minhash_dedup": "WITH RECURSIVE " + _GREEDY("SELECT DISTINCT item_id AS id FROM t", _SHINGLES.replace("SELECT item_id, trim(lower(text)) AS t FROM benchmark", f"SELECT conv_id * 1000 + turn AS item_id, {stripped('lower(coalesce(text, chr(32)))')} AS t FROM conversations")
+      + ", near AS (SELECT a.item_id AS a, b.item_id AS b FROM m a JOIN m b ON a.i = b.i AND a.h = b.h AND a.item_id < b.item_id GROUP BY 1, 2 HAVING count(*) > 0.8 * 128)") + " SELECT unnest(kept) AS pos FROM k WHERE n = (SELECT max(n) FROM k)",
     "cosine_pairs": f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} > 0.3",
     "nearest_cosine": f"SELECT a.vec_id, round(max({_COS}), 6) AS nearest FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY a.vec_id",
     "pipeline_quota_run": f"""WITH n AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) * 6 // count(*) OVER () AS round, count(*) OVER () AS total FROM documents),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace import resources
 from millrace.functions.backends import DeterministicBackend
 from millrace.operators import generators, planning, reports, transformers
-from millrace.plans.mapping_queries import documents, pairs, table
+from millrace.plans.mapping_queries import PAIRS_SQL, documents, pairs, table
 from millrace.schema import as_samples, truthy
 
 
@@ -114,6 +115,11 @@ def tree_subspaces(spark, sf_dir):
     return n.select("n_nationkey", planning.subspace("trade", path).alias("subspace"))
 
 
+def _numbered(samples):
+    """Samples whose id is their position, which draws go by."""
+    return samples.withColumn("id", F.col("_pos").cast("string"))
+
+
 def persona_expansion_rounds(spark, sf_dir):
     """Personas of customers, expanded twice by the deterministic backend."""
     first = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("persona"))
@@ -136,12 +142,12 @@ def topic_tree_samples(spark, sf_dir):
 
 
 def seed_dataset_samples(spark, sf_dir):
-    source = generators.SeedDataset(DeterministicBackend(), pairs(spark, sf_dir))
+    source = generators.SeedDataset(DeterministicBackend(), _numbered(pairs(spark, sf_dir)))
     return source.generate(spark, 12).select("_pos", "instruction", "source_id")
 
 
 def evolved_instructions(spark, sf_dir):
-    t = transformers.evolve(pairs(spark, sf_dir), DeterministicBackend(), rounds=2, seed=5)
+    t = transformers.evolve(_numbered(pairs(spark, sf_dir)), DeterministicBackend(), rounds=2, seed=5)
     return t.select(F.col("_pos").alias("pos"), "instruction", F.size("evolution_history").cast("bigint").alias("steps"))
 
 
@@ -227,6 +233,33 @@ l{k} AS (SELECT node_id || '.' || (i - 1) AS node_id, node_id AS parent_id, {k}
 
 
 
+_FOUR = lambda d, i: f"substr({d}, {4 * i + 1}, 4)"
+
+
+def _evolved_sql(k: int) -> str:
+    """Round k of evolution over v{k}(pos, instruction)."""
+    pick = _pick(transformers.EVOLUTIONS, _hex(_draw(5, "CAST(pos AS VARCHAR)", f"'{k}'")) + " % 6")
+    told = " ".join(f"WHEN '{n}' THEN '{resources.TEMPLATES[f'transformers.evol_{n}'].partition(chr(10))[0]}'" for n in transformers.EVOLUTIONS)
+    prompt = f"(CASE {pick} {told} END || chr(10) || instruction)"
+    return f"v{k + 1} AS (SELECT pos, CASE WHEN instruction <> '' THEN 'evol_instruct reply ' || md5('evol_instruct:' || {prompt}) ELSE instruction END AS instruction, steps + CASE WHEN instruction <> '' THEN 1 ELSE 0 END AS steps FROM v{k})"
+
+
+def _seeded_sql(draw: int, calls: str, wanted: str) -> str:
+    """What the seed generator's calls of one attempt bring: (call, j, instruction)."""
+    return f"""(WITH o AS (SELECT *, row_number() OVER (ORDER BY {_draw(draw, "CAST(pos AS VARCHAR)")}, CAST(pos AS VARCHAR)) - 1 AS k, count(*) OVER () AS n FROM p),
+  c AS (SELECT call, {wanted} AS wanted, {_hex(_draw(draw + 1, "CAST(call AS VARCHAR)"))} AS st FROM (SELECT unnest({calls}) AS call)),
+  x AS (SELECT call, wanted, string_agg('- ' || instruction, chr(10) ORDER BY nth) AS examples FROM c, (SELECT unnest([0, 1, 2]) AS nth) JOIN o ON (st + nth) % n = k WHERE instruction <> '' GROUP BY call, wanted),
+  d AS (SELECT call, md5('seed_dataset:' || 'Here are some tasks:' || chr(10) || examples || chr(10) || 'Write ' || wanted || ' new ones as a JSON list of strings.' || ' #{draw}.') AS d FROM x)
+  SELECT call, unnest([0, 1, 2]) AS j, unnest(['seed_dataset ' || {_FOUR("d", 0)}, 'seed_dataset ' || {_FOUR("d", 1)}, 'seed_dataset ' || {_FOUR("d", 2)}]) AS instruction FROM d)"""
+
+
+def _people_sql(k: int) -> str:
+    """Personas of round k: those that round k - 1's bring and nobody had before."""
+    had = " UNION ALL ".join(f"SELECT persona FROM h{j}" for j in range(k))
+    d = f"SELECT md5('persona_expand:' || 'Name people close to this person, as a JSON list of one-sentence descriptions.' || chr(10) || chr(10) || persona) AS d FROM h{k - 1}"
+    return f"h{k} AS (SELECT DISTINCT persona FROM (SELECT unnest(['persona_expand ' || {_FOUR('d', 0)}, 'persona_expand ' || {_FOUR('d', 1)}]) AS persona FROM ({d})) WHERE persona NOT IN ({had}))"
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -250,6 +283,10 @@ FROM (SELECT lang, CAST(n_chars AS DOUBLE) AS v, row_number() OVER (PARTITION BY
     "health_scarce_topics": "SELECT topic, n FROM (SELECT source AS topic, count(*) AS n, row_number() OVER (ORDER BY count(*), source) AS r, count(*) OVER () AS t FROM documents WHERE source <> '' GROUP BY source) WHERE r <= ceil(t * 0.1)",
     "topic_tree_nodes": "WITH RECURSIVE l0 AS (SELECT '0' AS node_id, NULL::VARCHAR AS parent_id, 0 AS depth, '' AS path, []::VARCHAR[] AS excluded, false AS open, NULL::VARCHAR AS attributes),\n"
     + ",\n".join(_level_sql(k) for k in range(1, _TOPICS.depth + 1)) + "\n" + " UNION ALL ".join(f"SELECT node_id, parent_id, depth::BIGINT AS depth, path, open, attributes FROM l{k}" for k in range(_TOPICS.depth + 1)),
+    "evolved_instructions": f"WITH {PAIRS_SQL}, v0 AS (SELECT pos, instruction, 0::BIGINT AS steps FROM p), {_evolved_sql(0)}, {_evolved_sql(1)} SELECT * FROM v2",
+    "seed_dataset_samples": f"""WITH {PAIRS_SQL} SELECT call * 5 + j AS _pos, instruction, 'seed_dataset' AS source_id
+FROM (SELECT * FROM {_seeded_sql(0, "[0, 1, 2]", "least(5, 12 - call * 5)")} UNION ALL SELECT * FROM {_seeded_sql(1, "[3]", "3")})""",
+    "persona_expansion_rounds": f"WITH h0 AS (SELECT c_name AS persona FROM customer), {_people_sql(1)}, {_people_sql(2)} " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS hop, count(*) AS n, count(DISTINCT persona) AS personas FROM h{k}" for k in range(3)),
     "leaf_plan": f"""SELECT leaf, task_type, language, level, row_number() OVER (ORDER BY {_draw(7, "leaf", "task_type", "language", "CAST(level AS VARCHAR)")}, leaf, task_type, language, level) - 1 AS k
 FROM (SELECT n_name AS leaf FROM nation), (SELECT unnest(['qa', 'explain']) AS task_type), (SELECT unnest(['en', 'de']) AS language), (SELECT unnest([1, 2, 3])::BIGINT AS level)""",
     "round_robin_tasks": f"SELECT t.range AS task, leaf FROM range(17) t JOIN (SELECT r_name AS leaf, row_number() OVER (ORDER BY {_draw(7, 'r_name')}, r_name) - 1 AS k, count(*) OVER () AS n FROM region) ON t.range % n = k",
