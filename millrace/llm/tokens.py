@@ -7,9 +7,9 @@ integer). Where a part begins in the whole follows from a prefix sum over the pa
 memory and touch only the pages they need.
 
 Texts are range-partitioned by id first and encoded where they are written, so that texts move once and ids never.
-The tokenizer's own words (a blank and what follows up to the next blank) are encoded once and remembered in the Python
-worker, whose later tasks find them (`Encoder`); the tokenizer is a byte-level BPE that never joins text across such a
-place, and texts with longer runs of white space are cut only where that holds.
+Words (a blank and what follows up to the next one) are encoded once and remembered in the Python worker, whose later
+tasks find them (`Encoder`); the tokenizer is a byte-level BPE that never joins text across such a place, and longer runs
+of white space are cut only where that holds.
 
 Defined results: null and empty texts hold the end id alone; null document ids come first; rows with equal ids stay
 next to each other, ordered by a hash of the text; ids that are no 64-bit integers are refused; an empty table gives an
@@ -21,7 +21,6 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,21 +28,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import filesystem, materialise, publish, shared_dir, slices
+from millrace.llm.common import filesystem, materialise, publish, shared_dir, slices, utf8_buffer
 
 END_ID = 2
-#: Words in each generation of an encoder's memory, words that the model takes at once, and bytes of text at a time.
-REMEMBER, JOINED, STEP = 400_000, 128, 4 << 20
+#: Bits of an encoder's memory of words, words that the model takes at once, bytes of text at a time, and bytes of words
+#: that are remembered (a multiple of eight).
+MEMORY_BITS, JOINED, STEP, LONGEST = 21, 128, 2 << 20, 24
 #: Documents that are read back at a time.
 READ = 1024
 _NULL = -(1 << 63)
-#: White space as the tokenizer's pattern takes it (Unicode White_Space).
-_WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A blank with white space before it and white space (or nothing) after it is no place to cut.
-_UNSURE = re.compile(f"[{_WS}] (?:[{_WS}]|\\Z)")
-_CUT = re.compile(f"(?<=[^{_WS}]) | (?=[^{_WS}])")
-
-
+#: White space as the tokenizer's pattern takes it (Unicode White_Space): of one byte and of more.
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_WIDE = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+_LEADS = np.zeros(256, bool)
+_LEADS[[w[0] for w in _WIDE]] = True
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 #: Characters of words whose pieces follow from their classes: letters, digits, ASCII marks but the apostrophe, and line
 #: ends that stand alone inside a word.
 _SIMPLE = re.compile(r"(?:[A-Za-z0-9À-ÖØ-öø-ɏА-яё一-鿿!-&(-/:-@\[-`{-~]|(?<=[^\n])\n(?=[^\n]))+")
@@ -62,6 +63,12 @@ def _byte_letters() -> np.ndarray:
 _LETTERS = _byte_letters()
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def _mapped(text: str) -> str:
     return _LETTERS[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
 
@@ -79,17 +86,72 @@ def _harmless(token: str, byte_of: dict[str, int]) -> bool:
         return False
 
 
-class Encoder:
-    """Encodes texts to bytes of ids, with a memory of words where the tokenizer is a plain byte-level BPE.
+class Memory:
+    """Token ids of words of at most LONGEST bytes: a hash table that is searched for many words at a time.
 
-    Words that no memory holds are encoded many at a time: as long as no token of the vocabulary spans two classes of
-    characters (letters, digits, marks), merges never cross the places where the tokenizer would cut simple words, so
-    the model takes them joined and unsplit, and tokens that begin with a blank tell where words begin. Other words go
-    through the tokenizer's own cuts one by one. Memory has two generations of `remember` words each: the older one is
-    let go when the younger one is full, and words that are met again move to the younger one.
+    A word is told by its bytes as three numbers and its length, which two 64-bit hashes mix: one finds the slot, the
+    other confirms it. A full table is emptied.
+    """
+
+    def __init__(self, kind: np.dtype, bits: int):
+        self.bits, self.most = bits, (1 << bits) * 3 // 5
+        self.ids = np.zeros(1 << 16, kind)
+        self.clear()
+
+    def clear(self) -> None:
+        n = 1 << self.bits
+        self.key, self.check = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.at, self.size = np.zeros(n, np.uint32), np.zeros(n, np.uint16)
+        self.held = self.end = self.probes = 0
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The slot of each word, -1 for words that aren't held."""
+        down, last = np.uint64(64 - self.bits), np.int64(len(self.key) - 1)
+        slot = (key >> down).astype(np.int64)
+        there = self.key[slot]
+        out = np.where((there == key) & (self.check[slot] == check), slot, -1)
+        left = np.flatnonzero((out < 0) & (there != 0))
+        for k in range(1, self.probes):
+            if not len(left):
+                break
+            slot = ((key[left] >> down).astype(np.int64) + k) & last
+            there = self.key[slot]
+            hit = (there == key[left]) & (self.check[slot] == check[left])
+            out[left[hit]] = slot[hit]
+            left = left[~hit & (there != 0)]
+        return out
+
+    def add(self, key: np.ndarray, check: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        down, last = np.uint64(64 - self.bits), np.int64(len(self.key) - 1)
+        self.held += len(key)
+        left, k = np.arange(len(key)), 0
+        while len(left):
+            slot = ((key[left] >> down).astype(np.int64) + k) & last
+            free = np.flatnonzero(self.key[slot] == 0)
+            _, one = np.unique(slot[free], return_index=True)
+            done, to = left[free[one]], slot[free[one]]
+            self.key[to], self.check[to], self.at[to], self.size[to] = key[done], check[done], at[done], size[done]
+            left = np.delete(left, free[one])
+            k += 1
+        self.probes = max(self.probes, k + 1)
+
+    def room(self, n: int) -> None:
+        if self.end + n > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(n, len(self.ids) // 2), self.ids.dtype)])
+
+
+class Encoder:
+    """Encodes texts to ids, with a memory of words where the tokenizer is a plain byte-level BPE.
+
+    Texts are cut before blanks, but for blanks with white space on either side, all over a batch's bytes at once, and
+    words that the memory holds are put together from it. New words are encoded many at a time: as long as no token of
+    the vocabulary spans two classes of characters (letters, digits, marks), merges never cross the places where the
+    tokenizer would cut simple words, so the model takes them joined and unsplit, and tokens that begin with a blank tell
+    where words begin. Other words go through the tokenizer's own cuts one by one, long ones each time; so do whole
+    texts with white space of more than one byte.
     """
 
-    def __init__(self, path: str, remember: int = REMEMBER):
+    def __init__(self, path: str, bits: int = MEMORY_BITS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -98,69 +160,116 @@ class Encoder:
         self.by_word = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not told.get("normalizer") and model["type"] == "BPE"
         self.added = [x["content"] for x in told.get("added_tokens", [])]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.remember = remember
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.joined = False
-        if self.by_word and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        # An added token that holds white space could span words.
+        self.by_word = bool(self.by_word and not any(c.isspace() for x in self.added for c in x))
+        if self.by_word:
+            self.memory = Memory(self.kind, bits)
             byte_of = {chr(c): b for b, c in enumerate(_LETTERS.tolist())}
             vocab = {k: v for k, v in model["vocab"].items() if k not in self.added}
-            self.joined = all(_harmless(k, byte_of) for k in vocab) and all(chr(c) in vocab for c in _LETTERS.tolist())
+            plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+            self.joined = plain and all(_harmless(k, byte_of) for k in vocab) and all(chr(c) in vocab for c in _LETTERS.tolist())
             self.begins = np.zeros(max(vocab.values(), default=0) + 1, bool)
             self.begins[[v for k, v in vocab.items() if k[0] == chr(_LETTERS[32])]] = True
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: str) -> np.ndarray:
         if any(x in word for x in self.added):
             return self._whole(word)
         bpe = self.tokenizer.model.tokenize
-        return np.array([t.id for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(word) for t in bpe(piece)], self.kind).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Remembers words that follow a blank."""
-        simple = [w for w in words if _SIMPLE.fullmatch(w)] if self.joined else []
-        size, bpe = self.kind.itemsize, self.tokenizer.model.tokenize
-        for at in range(0, len(simple), JOINED):
-            some = simple[at : at + JOINED]
-            text = " " + " ".join(some)
+        return np.array([t.id for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(word) for t in bpe(piece)], self.kind)
+
+    def _put(self, ids: np.ndarray) -> None:
+        m = self.memory
+        m.room(len(ids))
+        m.ids[m.end : m.end + len(ids)] = ids
+        m.end += len(ids)
+
+    def _learned(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Puts the ids of words behind those of the memory; their places and numbers."""
+        at, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        simple = [k for k, w in enumerate(words) if w[0] == " " and _SIMPLE.fullmatch(w, 1)] if self.joined else []
+        bpe, done = self.tokenizer.model.tokenize, np.zeros(len(words), bool)
+        for a in range(0, len(simple), JOINED):
+            some = simple[a : a + JOINED]
+            text = "".join([words[k] for k in some])
             if any(x in text for x in self.added):
                 continue
             ids = np.array([t.id for t in bpe(_mapped(text))], np.int64)
-            cuts = (np.append(np.flatnonzero(self.begins[ids]), len(ids)) * size).tolist()
-            data = ids.astype(self.kind).tobytes()
-            self.later.update(zip(some, [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
-        for w in words:
-            if w not in self.later:
-                self.later[w] = self._word(" " + w)
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
+            cuts = np.append(np.flatnonzero(self.begins[ids]), len(ids))
+            at[some], size[some], done[some] = self.memory.end + cuts[:-1], np.diff(cuts), True
+            self._put(ids)
+        for k in np.flatnonzero(~done).tolist():
+            ids = self._word(words[k])
+            at[k], size[k] = self.memory.end, len(ids)
+            self._put(ids)
+        return at, size
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and the number of each one's; null counts as empty."""
         if not self.by_word:
-            return [self._whole(t) for t in texts]
-        if len(self.later) > self.remember:
-            self.older, self.later = self.later, {}
-        if len(self.first) > self.remember:
-            self.first = {}
-        cut = [_CUT.split(t) if _UNSURE.search(t) else t.split(" ") for t in texts]
-        ends = np.cumsum([len(words) - 1 for words in cut]).tolist()
-        heads = [words[0] for words in cut]
-        for words in cut:
-            del words[0]
-        self.first.update((w, self._word(w)) for w in set(heads).difference(self.first))
-        flat = list(chain.from_iterable(cut))
-        coded = list(map(self.later.get, flat))
-        missing = [k for k, c in enumerate(coded) if c is None]
-        new = {flat[k] for k in missing}
-        self.later.update((w, self.older[w]) for w in new.intersection(self.older))
-        self._learn(list(new.difference(self.older)))
-        for k in missing:
-            coded[k] = self.later[flat[k]]
-        return [b"".join([self.first[h], *coded[a:b]]) for h, a, b in zip(heads, [0, *ends], ends, strict=False)]
-
-    def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+            each = [self._whole(t or "") for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, self.kind), *each]), np.array([len(x) for x in each], np.int64)
+        data, offsets = utf8_buffer(texts)
+        n = len(data)
+        if not n:
+            return np.zeros(0, self.kind), np.zeros(len(texts), np.int64)
+        padded = np.concatenate([data, np.zeros(LONGEST + 8, np.uint8)])
+        first = offsets[:-1][np.diff(offsets) > 0]
+        # Blanks begin words, unless white space or an end is on both sides.
+        blank = np.flatnonzero(data == 32)
+        white = _WHITE[data]
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        inside = (white[np.maximum(blank - 1, 0)] | edge[blank]) & (white[np.minimum(blank + 1, n - 1)] | edge[blank + 1])
+        begins = np.zeros(n, bool)
+        begins[blank[~inside]] = True
+        # White space of several bytes: such texts are taken whole.
+        odd = np.flatnonzero(_LEADS[data])
+        odd = odd[[bytes(padded[k : k + 3]).startswith(_WIDE) for k in odd.tolist()]] if len(odd) else odd
+        slow = np.unique(np.searchsorted(offsets, odd, side="right") - 1)
+        for k in slow.tolist():
+            begins[offsets[k] : offsets[k + 1]] = False
+        begins[first] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], n)
+        length = end - start
+        loads = np.ndarray((n + LONGEST,), "<u8", padded, strides=(1,))
+        some = [loads[start + 8 * j] & _MASKS[np.clip(length - 8 * j, 0, 8)] for j in range(LONGEST // 8)]
+        key, check = (_mix(sum((x * np.uint64(c) for x, c in zip(some, odd_, strict=True)), length.astype(np.uint64) * np.uint64(odd_[0]))) for odd_ in (_ODD, _ODD[::-1]))
+        key |= np.uint64(1)
+        m = self.memory
+        if m.held >= m.most:
+            m.clear()
+        short = length <= LONGEST
+        short[np.searchsorted(start, offsets[slow])] = False
+        slot = np.full(len(start), -1, np.int64)
+        slot[short] = m.find(key[short], check[short])
+        done = slot >= 0
+        at, size = np.where(done, m.at[slot], 0).astype(np.int64), np.where(done, m.size[slot], 0).astype(np.int64)
+        new = np.flatnonzero(short & ~done)
+        if len(new):
+            _, one, which = np.unique(key[new], return_index=True, return_inverse=True)
+            one, held = new[one], data.tobytes()
+            places, sizes = self._learned([held[a:b].decode() for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)])
+            at[new], size[new] = places[which], sizes[which]
+            done[new] = check[new] == check[one][which]
+            room = m.most - m.held
+            m.add(key[one][:room], check[one][:room], places[:room].astype(np.uint32), sizes[:room].astype(np.uint16))
+        kept = m.end
+        for k in np.flatnonzero(~done).tolist():
+            ids = self._word(data[start[k] : end[k]].tobytes().decode())
+            at[k], size[k] = m.end, len(ids)
+            self._put(ids)
+        m.end = kept
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = m.ids[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
+        return ids, np.diff(total[np.searchsorted(start, offsets)])
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_batch(pa.array([text]))[0].tolist()
 
 
 _KEPT: dict[str, Encoder] = {}
@@ -189,7 +298,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
         part = TaskContext.get().partitionId()
         coder = encoder(tokenizer)
-        end = np.array([end_id], coder.kind).tobytes()
         fs, root = filesystem(path)
         lengths: list[np.ndarray] = []
         ids: list[np.ndarray] = []
@@ -197,10 +305,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         def fill(out):
             for whole in batches:
                 for batch in slices(whole, STEP):
-                    coded = [c + end for c in coder.encode_all(batch.column(1).fill_null("").to_pylist())]
-                    lengths.append(np.array([len(c) // coder.kind.itemsize for c in coded], np.int64))
+                    coded, n = coder.encode_batch(batch.column(1))
+                    lengths.append(n + 1)
                     ids.append(batch.column(0).fill_null(_NULL).to_numpy(zero_copy_only=False).astype("<i8"))
-                    out.write(b"".join(coded))
+                    out.write(np.insert(coded, np.cumsum(n), end_id).astype(coder.kind).tobytes())
 
         publish(fs, f"{root}/{part:06d}.bin", fill)
         n = np.concatenate([np.zeros(1, np.int64), *lengths]).cumsum()

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -434,11 +435,11 @@ def test_encoder_cuts():
 
     from tokenizers import Tokenizer
 
-    t, e, r = Tokenizer.from_file(queries.tokenizer_path()), tokens.Encoder(queries.tokenizer_path(), remember=50), random.Random(2)
+    t, e, r = Tokenizer.from_file(queries.tokenizer_path()), tokens.Encoder(queries.tokenizer_path(), bits=6), random.Random(2)
     bits = ["a", "b", " ", " ", "  ", "\n", "\t", "\r", "é", " ", "\u0085", "\x1c", "　", "1", "'s", "!", "<|endoftext|>", "日"]
     for _ in range(4000):
         x = "".join(r.choice(bits) for _ in range(r.randint(0, 14)))
-        assert np.frombuffer(e.encode(x), "<u2").tolist() == t.encode(x, add_special_tokens=False).ids
+        assert e.encode(x) == t.encode(x, add_special_tokens=False).ids
 
 
 def test_encoder_joins_words():
@@ -447,13 +448,16 @@ def test_encoder_joins_words():
 
     from tokenizers import Tokenizer
 
-    t, e, r = Tokenizer.from_file(queries.tokenizer_path()), tokens.Encoder(queries.tokenizer_path(), remember=300), random.Random(4)
+    t, e, r = Tokenizer.from_file(queries.tokenizer_path()), tokens.Encoder(queries.tokenizer_path(), bits=8), random.Random(4)
     assert e.joined
     bits = ["ab", "The", "ü", "é", "ция", "日", "本", "12", "9", ".", ",", "'s", "'", "—", "…", "###", "$", "\n", "\n\n", "<|endoftext|>", "½", "²", "\u200b", "あ、", "_", "x" * 40]
     for _ in range(40):
         texts = [" ".join("".join(r.choice(bits) for _ in range(r.randint(1, 5))) for _ in range(r.randint(0, 12))) for _ in range(60)]
-        for x, got in zip(texts, e.encode_all(texts), strict=True):
-            assert np.frombuffer(got, "<u2").tolist() == t.encode(x, add_special_tokens=False).ids
+        texts += [None, "", " ", "x" * 30 + " y", "a\u00a0b c  d", "\u3000 x"]
+        ids, n = e.encode_batch(pa.array(texts).slice(1))
+        for x, k, end in zip(texts[1:], n.tolist(), np.cumsum(n).tolist(), strict=True):
+            assert ids[end - k : end].tolist() == t.encode(x or "", add_special_tokens=False).ids
+    assert e.encode_batch(pa.array([None, ""], pa.string()))[1].tolist() == [0, 0]
 
 
 # --- 8
