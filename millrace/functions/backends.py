@@ -18,6 +18,8 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Texts in one request for vectors.
+EMBEDDED = 100
 REPLY = "struct<content:string,prompt_tokens:bigint,completion_tokens:bigint,model:string,error:string>"
 
 
@@ -115,8 +117,9 @@ class Limiter:
 
 @dataclass
 class HttpBackend:
-    """A chat-completion endpoint, called from mapInPandas: one limiter and thread pool per task, so the number of tasks
-    times `concurrent` bounds the calls at a time. A call that fails for good leaves its message in `error`."""
+    """A chat-completion endpoint, called from mapInPandas. `concurrent` bounds the calls at a time of a whole run: it is shared
+    among the tasks that can run at once, each with a limiter and thread pool of its own, and no more tasks run than
+    calls are allowed. A call that fails for good leaves its message in `error`."""
 
     url: str
     model: str
@@ -168,18 +171,22 @@ class HttpBackend:
         except Exception as e:  # a failed call is a row with an error, not a failed job
             return None, 0, 0, model, f"{type(e).__name__}: {e}"
 
-    def _mapped(self, df: DataFrame, value: Column, out: str, kind: str, one) -> DataFrame:
+    def _mapped(self, df: DataFrame, value: Column, out: str, kind: str, many) -> DataFrame:
+        """df with a column that many(values, limiter, pool) gives for each batch."""
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        share = max(1, self.concurrent // slots)
         work = df.withColumn("__value", value)
+        if slots > self.concurrent:
+            work = work.coalesce(self.concurrent)
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out}` {kind}"])
 
         def run(batches):
             from concurrent.futures import ThreadPoolExecutor
 
-            limiter = Limiter(self.concurrent)
-            with ThreadPoolExecutor(self.concurrent) as pool:
+            limiter = Limiter(share)
+            with ThreadPoolExecutor(share) as pool:
                 for pdf in batches:
-                    values = pdf.pop("__value")
-                    pdf[out] = list(pool.map(lambda v: None if v is None else one(v, limiter), values))
+                    pdf[out] = many(list(pdf.pop("__value")), limiter, pool)
                     yield pdf
 
         return work.mapInPandas(run, schema)
@@ -188,10 +195,22 @@ class HttpBackend:
         model = self.named(role)
 
         def one(text, limiter):
-            return dict(zip(("content", "prompt_tokens", "completion_tokens", "model", "error"), self.ask(text, model, limiter), strict=True))
+            return None if text is None else dict(zip(("content", "prompt_tokens", "completion_tokens", "model", "error"), self.ask(text, model, limiter), strict=True))
 
-        return self._mapped(df, prompt, out, REPLY, one)
+        return self._mapped(df, prompt, out, REPLY, lambda texts, limiter, pool: list(pool.map(lambda t: one(t, limiter), texts)))
 
     def embed(self, df: DataFrame, text: Column, out: str = "embedding") -> DataFrame:
+        """df with vectors; texts are sent EMBEDDED at a time, null ones have none."""
         model = self.named("embedding_model")
-        return self._mapped(df, text, out, "array<double>", lambda t, limiter: self._post("/embeddings", {"model": model, "input": [t]}, limiter)["data"][0]["embedding"])
+
+        def many(texts, limiter, pool):
+            told = [k for k, t in enumerate(texts) if t is not None]
+            parts = [told[k : k + EMBEDDED] for k in range(0, len(told), EMBEDDED)]
+            found = pool.map(lambda ks: self._post("/embeddings", {"model": model, "input": [texts[k] for k in ks]}, limiter)["data"], parts)
+            vectors: list = [None] * len(texts)
+            for ks, data in zip(parts, found, strict=True):
+                for n, row in enumerate(data):
+                    vectors[ks[row.get("index", n)]] = row["embedding"]
+            return vectors
+
+        return self._mapped(df, text, out, "array<double>", many)

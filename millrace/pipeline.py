@@ -106,6 +106,18 @@ class Pipeline:
     def output(spark: SparkSession, out: str) -> DataFrame:
         return spark.read.option("basePath", out).parquet(f"{out}/round=*")
 
+    @staticmethod
+    def summary(spark: SparkSession, out: str) -> dict:
+        """What a run did: samples made, kept and rejected by reason, the share kept, rounds, and tokens by stage."""
+        state = State.load(Path(out) / "state.json")
+        if state is None:
+            raise CheckpointError(f"no run in {out}")
+        made = sum(state.counts.values())
+        rows = Pipeline.output(spark, out)
+        used = Pipeline.usage(rows).groupBy("stage").agg(F.sum("prompt_tokens").alias("p"), F.sum("completion_tokens").alias("c")).orderBy("stage").collect() if "_usage" in rows.columns else []
+        rejected = {k: v for k, v in sorted(state.counts.items()) if k != "passed"}
+        return {"generated": made, "written": state.written, "rejected": rejected, "kept": round(state.counts.get("passed", 0) / made, 4) if made else 0.0, "rounds": state.rounds, "tokens": {r.stage: {"prompt": r.p, "completion": r.c} for r in used}}
+
     @staticmethod
     def usage(df: DataFrame) -> DataFrame:
         """(stage, prompt_tokens, completion_tokens) of all calls whose tokens came along in `_usage`."""

@@ -29,6 +29,10 @@ def test_quota(spark, tmp_path):
     assert done["written"] == 30 and Pipeline.output(spark, str(tmp_path / "out")).count() == 30
     assert done["counts"]["low_quality"] > 0 and done["rounds"] > 1
     assert p.run(spark, 30, str(tmp_path / "out"), {"a": 1}, resume=True) == done
+    told = Pipeline.summary(spark, str(tmp_path / "out"))
+    assert told["written"] == 30 and told["rejected"] == {"low_quality": done["counts"]["low_quality"]} and 0 < told["kept"] < 1 and told["tokens"] == {}
+    with pytest.raises(CheckpointError):
+        Pipeline.summary(spark, str(tmp_path))
     with pytest.raises(ConfigChanged):
         p.run(spark, 30, str(tmp_path / "out"), {"a": 2}, resume=True)
     (tmp_path / "out" / "state.json").write_text("{")
@@ -175,7 +179,7 @@ def endpoint():
                 self.end_headers()
                 return
             if self.path.endswith("/embeddings"):
-                told = {"data": [{"embedding": [1.0, float(len(body["input"][0]))]}]}
+                told = {"data": [{"index": k, "embedding": [1.0, float(len(x))]} for k, x in reversed(list(enumerate(body["input"])))]}
             elif "bad" in body["messages"][0]["content"]:
                 self.send_response(404)
                 self.end_headers()
@@ -201,6 +205,8 @@ def test_endpoint(spark, endpoint):
     got = {r.p: r.reply for r in model.complete(df, F.col("p"), "stage").collect()}
     assert got["a"].content == "A" and got["a"].completion_tokens == 4 and got["bad"].content is None and "404" in got["bad"].error and got[None] is None
     assert [r.embedding for r in model.embed(df.filter("p = 'a'"), F.col("p")).collect()] == [[1.0, 1.0]]
+    many = spark.createDataFrame([(k, "x" * k if k % 7 else None) for k in range(230)], "k int, p string").coalesce(1)
+    assert all(r.embedding == ([1.0, float(r.k)] if r.k % 7 else None) for r in model.embed(many, F.col("p")).collect())
 
 
 def test_limiter():
