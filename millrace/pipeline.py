@@ -1,6 +1,6 @@
 """Runs with a quota: generate, transform, filter and write, in at most six rounds, until exactly n samples survive.
 
-A round is one plan. Its survivors are written to a folder of its own and the state beside it is replaced by a rename,
+A round is one plan. Its survivors are written to a folder of its own and the state beside it is replaced by a rename (on the file system of the folder),
 so a run that stops is resumed from its last whole round, and a round that is repeated overwrites itself.
 """
 
@@ -9,10 +9,8 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +33,15 @@ def config_hash(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:16]
 
 
+def _file(spark: SparkSession, path: str):
+    """A path and its file system, as Spark knows it; without checksum files beside it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.setVerifyChecksum(False)
+    fs.setWriteChecksum(False)
+    return fs, there
+
+
 @dataclass
 class State:
     config: str
@@ -42,19 +49,30 @@ class State:
     written: int = 0
     counts: dict[str, int] = field(default_factory=dict)
 
-    def save(self, path: Path) -> None:
-        mine = path.with_suffix(".tmp")
-        mine.write_text(json.dumps(self.__dict__), encoding="utf-8")
-        os.replace(mine, path)
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the state beside its name and renames it, on whatever file system the folder is."""
+        fs, there = _file(spark, path)
+        mine = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+        out = fs.create(mine, True)
+        out.write(json.dumps(self.__dict__).encode())
+        out.close()
+        fs.delete(there, False)
+        fs.rename(mine, there)
 
     @classmethod
-    def load(cls, path: Path) -> State | None:
-        if not path.exists():
-            return None
-        try:
-            return cls(**json.loads(path.read_text(encoding="utf-8")))
-        except (ValueError, TypeError) as e:
-            raise CheckpointError(f"{path} can't be read: {e}") from e
+    def load(cls, spark: SparkSession, path: str) -> State | None:
+        """The state, or that which a writer left that stopped before its renaming; none if there is neither."""
+        for name in (path, f"{path}.new"):
+            fs, there = _file(spark, name)
+            if fs.exists(there):
+                data = fs.open(there)
+                try:
+                    return cls(**json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(data, "UTF-8")))
+                except (ValueError, TypeError) as e:
+                    raise CheckpointError(f"{name} can't be read: {e}") from e
+                finally:
+                    data.close()
+        return None
 
 
 @dataclass
@@ -79,10 +97,8 @@ class Pipeline:
 
     def run(self, spark: SparkSession, n: int, out: str, config: dict | None = None, resume: bool = False) -> dict:
         """Writes exactly n survivors as Parquet below `out` (fewer only if the rounds run out) and returns counts by reason."""
-        root = Path(out)
-        root.mkdir(parents=True, exist_ok=True)
-        mark, told = root / "state.json", config_hash(config or {})
-        state = State.load(mark) if resume else None
+        mark, told = f"{out}/state.json", config_hash(config or {})
+        state = State.load(spark, mark) if resume else None
         if state is not None and state.config != told:
             raise ConfigChanged("the settings differ from those the run began with")
         state = state or State(told)
@@ -94,12 +110,12 @@ class Pipeline:
             if not found:
                 break
             kept = filters.survivors(done).orderBy("_pos").limit(left)
-            kept.write.mode("overwrite").parquet(str(root / f"round={state.rounds}"))
+            kept.write.mode("overwrite").parquet(f"{out}/round={state.rounds}")
             for k, v in found.items():
                 state.counts[k] = state.counts.get(k, 0) + v
             state.written += min(left, found.get("passed", 0))
             state.rounds += 1
-            state.save(mark)
+            state.save(spark, mark)
         return {"written": state.written, "rounds": state.rounds, "counts": state.counts}
 
     @staticmethod
@@ -109,7 +125,7 @@ class Pipeline:
     @staticmethod
     def summary(spark: SparkSession, out: str) -> dict:
         """What a run did: samples made, kept and rejected by reason, the share kept, rounds, and tokens by stage."""
-        state = State.load(Path(out) / "state.json")
+        state = State.load(spark, f"{out}/state.json")
         if state is None:
             raise CheckpointError(f"no run in {out}")
         made = sum(state.counts.values())
