@@ -85,7 +85,7 @@ def _iban_pattern() -> str:
     return rf"(?<![A-Za-z0-9])(?:{by_length})(?![A-Za-z0-9])"
 
 
-IBAN = S.Rule("iban", _iban_pattern(), lambda m: mod97(F.regexp_replace(m, " ", "")))
+IBAN = S.Rule("iban", _iban_pattern(), lambda m: mod97(F.regexp_replace(m, " ", "")), lambda t: t.rlike("[A-Z][A-Z][0-9][0-9]"))
 SSN = S.Rule("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda m: F.lit(True))
 SCORES = {"email": 0.6, "ip": 0.5, "card": 0.6, "phone": 0.4, "iban": 0.7, "ssn": 0.3}
 CONTEXT = {
