@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from millrace import resources
@@ -137,7 +139,7 @@ def topic_tree_nodes(spark, sf_dir):
 
 
 def topic_tree_samples(spark, sf_dir):
-    source = generators.TopicTree(DeterministicBackend(items=2), domain="trade", depth=2, task_types=("qa", "explain"), difficulty=(1, 2))
+    source = replace(_TOPICS, depth=2, most=50)
     return source.generate(spark, 20).select("_pos", "instruction", "topic", "task_type", "language", "difficulty")
 
 
@@ -212,8 +214,10 @@ _TREE = """p AS (
   SELECT '2:' || c_custkey, '1:' || c_nationkey, 2, r_name || ' > ' || n_name || ' > ' || c_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 _BACK = lambda stage, prompt: f"md5('{stage}:' || {prompt})"
 
+_ROOT = "l0 AS (SELECT '0' AS node_id, NULL::VARCHAR AS parent_id, 0 AS depth, '' AS path, []::VARCHAR[] AS excluded, false AS open, NULL::VARCHAR AS attributes)"
+
 
-def _level_sql(k: int) -> str:
+def _level_sql(k: int, most: int) -> str:
     """Level k of the deterministic topic tree: pivots, a dimension, its completed values, children."""
     sub = "'Domain ''trade''' || CASE WHEN path = '' THEN '' ELSE ' where ' || path END"
     cut = lambda d, i: f"substr({d}, {4 * i + 1}, 4)"
@@ -225,11 +229,11 @@ s{k} AS (SELECT node_id, path, excluded, sub, 'axis ' || substr(d, 1, 2) AS dim,
   WHERE {number("d")} % 16 <> 5 AND {cut("d", 0)} <> {cut("d", 1)} AND NOT list_contains(excluded, 'axis ' || substr(d, 1, 2))),
 e{k} AS (SELECT *, false AS done, 0 AS k FROM s{k} UNION ALL
   SELECT node_id, path, excluded, sub, dim, CASE WHEN {number("d")} % 4 = 0 OR list_contains(attrs, 'e' || {cut("d", 0)}) THEN attrs ELSE list_append(attrs, 'e' || {cut("d", 0)}) END, {number("d")} % 4 <> 2 OR list_contains(attrs, 'e' || {cut("d", 0)}), k + 1
-  FROM (SELECT *, md5('topic_tree.expand:' || 'Dimension ' || dim || ' of ' || sub || ' has ["' || array_to_string(attrs, '","') || '"]. Give what is missing as JSON, or null.') AS d FROM e{k} WHERE NOT done AND len(attrs) < {_TOPICS.most} AND k < 10)),
+  FROM (SELECT *, md5('topic_tree.expand:' || 'Dimension ' || dim || ' of ' || sub || ' has ["' || array_to_string(attrs, '","') || '"]. Give what is missing as JSON, or null.') AS d FROM e{k} WHERE NOT done AND len(attrs) < {most} AND k < 10)),
 f{k} AS (SELECT * FROM e{k} QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY k DESC) = 1),
 l{k} AS (SELECT node_id || '.' || (i - 1) AS node_id, node_id AS parent_id, {k} AS depth, concat(path, CASE WHEN path = '' THEN '' ELSE ', ' END, dim, '=', attrs[i]) AS path, list_append(excluded, dim) AS excluded, false AS open, NULL::VARCHAR AS attributes
-  FROM (SELECT *, unnest(range(1, len(attrs) + 1)) AS i FROM f{k} WHERE len(attrs) <= {_TOPICS.most})
-  UNION ALL SELECT node_id || '.0', node_id, {k}, path, list_append(excluded, dim), true, array_to_string(attrs[1:{_TOPICS.most}], ',') FROM f{k} WHERE len(attrs) > {_TOPICS.most})"""
+  FROM (SELECT *, unnest(range(1, len(attrs) + 1)) AS i FROM f{k} WHERE len(attrs) <= {most})
+  UNION ALL SELECT node_id || '.0', node_id, {k}, path, list_append(excluded, dim), true, array_to_string(attrs[1:{most}], ',') FROM f{k} WHERE len(attrs) > {most})"""
 
 
 
@@ -281,8 +285,15 @@ FROM (SELECT lang, CAST(n_chars AS DOUBLE) AS v, row_number() OVER (PARTITION BY
     "health_missing_topics": "SELECT lower(r_name) AS topic FROM region EXCEPT SELECT source FROM documents",
     "health_safety": f"WITH {_LABELLED} SELECT count(*) AS total, count(*) FILTER (WHERE NOT safety_passed) AS blocked, count(quality_score) AS scored FROM s",
     "health_scarce_topics": "SELECT topic, n FROM (SELECT source AS topic, count(*) AS n, row_number() OVER (ORDER BY count(*), source) AS r, count(*) OVER () AS t FROM documents WHERE source <> '' GROUP BY source) WHERE r <= ceil(t * 0.1)",
-    "topic_tree_nodes": "WITH RECURSIVE l0 AS (SELECT '0' AS node_id, NULL::VARCHAR AS parent_id, 0 AS depth, '' AS path, []::VARCHAR[] AS excluded, false AS open, NULL::VARCHAR AS attributes),\n"
-    + ",\n".join(_level_sql(k) for k in range(1, _TOPICS.depth + 1)) + "\n" + " UNION ALL ".join(f"SELECT node_id, parent_id, depth::BIGINT AS depth, path, open, attributes FROM l{k}" for k in range(_TOPICS.depth + 1)),
+    "topic_tree_samples": f"""WITH RECURSIVE {_ROOT}, {_level_sql(1, 50)}, {_level_sql(2, 50)},
+a AS (SELECT node_id, parent_id, path FROM l0 UNION ALL SELECT node_id, parent_id, path FROM l1 UNION ALL SELECT node_id, parent_id, path FROM l2),
+g AS (SELECT *, '[' || replace(regexp_replace(path, '(axis ..)=(\\w+)', '{{"dimension":"\\1","attribute_value":"\\2"}}', 'g'), ', ', ',') || ']' AS told
+  FROM a, (SELECT unnest(['qa', 'explain']) AS task_type), (SELECT unnest([1, 2]) AS level) WHERE node_id NOT IN (SELECT parent_id FROM a WHERE parent_id IS NOT NULL)),
+o AS (SELECT *, row_number() OVER (ORDER BY {_draw(0, "node_id", "told", "'false'", "''", "''", "task_type", "'en'", "CAST(level AS VARCHAR)")}) - 1 AS k, count(*) OVER () AS n FROM g)
+SELECT t.range * 1024 AS _pos, 'do ' || md5('topic_tree.instructions:' || 'Write 1 ' || task_type || ' tasks at level ' || level || ' in en on ' || CASE WHEN path = '' THEN 'trade' ELSE replace(replace(path, '=', ': '), ', ', '; ') END || ', as a JSON list.' || ' #' || t.range) AS instruction,
+  CASE WHEN path = '' THEN 'trade' ELSE replace(regexp_replace(path, 'axis ..=', '', 'g'), ', ', ' > ') END AS topic, task_type, 'en' AS language, CAST(level AS INTEGER) AS difficulty FROM range(20) t JOIN o ON t.range % n = k""",
+    "topic_tree_nodes": f"WITH RECURSIVE {_ROOT},\n"
+    + ",\n".join(_level_sql(k, _TOPICS.most) for k in range(1, _TOPICS.depth + 1)) + "\n" + " UNION ALL ".join(f"SELECT node_id, parent_id, depth::BIGINT AS depth, path, open, attributes FROM l{k}" for k in range(_TOPICS.depth + 1)),
     "evolved_instructions": f"WITH {PAIRS_SQL}, v0 AS (SELECT pos, instruction, 0::BIGINT AS steps FROM p), {_evolved_sql(0)}, {_evolved_sql(1)} SELECT * FROM v2",
     "seed_dataset_samples": f"""WITH {PAIRS_SQL} SELECT call * 5 + j AS _pos, instruction, 'seed_dataset' AS source_id
 FROM (SELECT * FROM {_seeded_sql(0, "[0, 1, 2]", "least(5, 12 - call * 5)")} UNION ALL SELECT * FROM {_seeded_sql(1, "[3]", "3")})""",
