@@ -142,6 +142,16 @@ def minhash_dedup(spark, sf_dir):
     return dedup.minhash_dedup(_personas(spark, sf_dir), "text", "pos", 0.8).select("pos")
 
 
+def deduplicated_turns(spark, sf_dir):
+    """Conversation turns after deduplication at 0.9 without a model for vectors, which leaves the MinHash pass."""
+    return dedup.deduplicate(_personas(spark, sf_dir).filter("text IS NOT NULL"), "text", "pos", 0.9).select("pos")
+
+
+def embedded_texts(spark, sf_dir):
+    t = DeterministicBackend().embed(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"))
+    return t.select("doc_id", F.array_join(F.transform("embedding", lambda x: F.round((x + 1) * 127.5).cast("int").cast("string")), ",").alias("bytes"))
+
+
 def cosine_pairs(spark, sf_dir):
     t = table(spark, sf_dir, "embeddings")
     return dedup.cosine_pairs(t, "vec_id", "embedding", 0.3).select("a", "b", F.round("sim", 6).alias("sim"))
@@ -219,6 +229,16 @@ sh AS (SELECT DISTINCT item_id, unnest(CASE WHEN length(t) < 3 THEN [t] ELSE lis
 v AS (SELECT g, i, substr(sha256(unhex(printf('%08x', i)) || encode(g)), 1, 16) AS x FROM (SELECT DISTINCT g FROM sh), range(128) r(i)),
 h AS (SELECT g, i, array_to_string(list_transform([15, 13, 11, 9, 7, 5, 3, 1], lambda p: substr(x, p, 2)), '') AS h FROM v),
 m AS (SELECT item_id, i, min(h) AS h FROM sh JOIN h USING (g) GROUP BY item_id, i)"""
+_BYTES = "list_transform(range(0, 8), lambda k: CAST('0x' || substr(d, CAST(2 * k + 1 AS INTEGER), 2) AS BIGINT) / 127.5::DOUBLE - 1)"
+
+
+def _turns_sql(threshold: float) -> str:
+    """The greedy pass over the signatures of conversation turns."""
+    turns = _SHINGLES.replace("SELECT item_id, trim(lower(text)) AS t FROM benchmark", f"SELECT conv_id * 1000 + turn AS item_id, {stripped('lower(coalesce(text, chr(32)))')} AS t FROM conversations")
+    near = f"near AS (SELECT a.item_id AS a, b.item_id AS b FROM m a JOIN m b ON a.i = b.i AND a.h = b.h AND a.item_id < b.item_id GROUP BY 1, 2 HAVING count(*) > {threshold} * 128)"
+    return "WITH RECURSIVE " + _GREEDY("SELECT DISTINCT item_id AS id FROM t", f"{turns}, {near}")
+
+
 QUERIES = {
     "survivors_by_language": survivors_by_language,
     "safety_universal": partial(_safety, None),
@@ -229,7 +249,7 @@ QUERIES = {
         f.__name__: f
         for f in (
             safety_conversations, filter_summary_by_reason, quality_threshold, quality_parse, collapse_report, collapse_flag, collapse_remove, exact_dedup, contamination_8gram, structural_checks,
-            strict_validation, empty_responses, minhash_signature, minhash_pairs, minhash_members, minhash_dedup, cosine_pairs, embedding_dedup, nearest_cosine, diverse_sample, pipeline_quota_run, judged_pairs, stream_filter_equivalence,
+            strict_validation, empty_responses, minhash_signature, minhash_pairs, minhash_members, minhash_dedup, deduplicated_turns, embedded_texts, cosine_pairs, embedding_dedup, nearest_cosine, diverse_sample, pipeline_quota_run, judged_pairs, stream_filter_equivalence,
         )
     },
 }
@@ -259,8 +279,15 @@ FROM (SELECT text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt F
     "minhash_members": f"WITH {_SHINGLES}, g AS (SELECT item_id, md5(string_agg(h, ',' ORDER BY i)) AS sig FROM m GROUP BY item_id) SELECT item_id, min(item_id) OVER (PARTITION BY sig) AS rep FROM g",
     "minhash_pairs": f"WITH {_SHINGLES}, g AS (SELECT item_id, md5(string_agg(h, ',' ORDER BY i)) AS sig FROM m GROUP BY item_id), r AS (SELECT min(item_id) AS item_id FROM g GROUP BY sig) SELECT a.item_id AS a, b.item_id AS b, round(count(*) / 128.0::DOUBLE, 6) AS sim FROM m a JOIN m b ON a.i = b.i AND a.h = b.h AND a.item_id < b.item_id WHERE a.item_id IN (FROM r) AND b.item_id IN (FROM r) GROUP BY 1, 2 HAVING count(*) > 0.2 * 128",
     "embedding_dedup": "WITH RECURSIVE " + _GREEDY("SELECT vec_id AS id FROM embeddings", f"near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} > 0.4)") + " SELECT unnest(kept) AS vec_id FROM k WHERE n = (SELECT max(n) FROM k)",
-    "minhash_dedup": "WITH RECURSIVE " + _GREEDY("SELECT DISTINCT item_id AS id FROM t", _SHINGLES.replace("SELECT item_id, trim(lower(text)) AS t FROM benchmark", f"SELECT conv_id * 1000 + turn AS item_id, {stripped('lower(coalesce(text, chr(32)))')} AS t FROM conversations")
-      + ", near AS (SELECT a.item_id AS a, b.item_id AS b FROM m a JOIN m b ON a.i = b.i AND a.h = b.h AND a.item_id < b.item_id GROUP BY 1, 2 HAVING count(*) > 0.8 * 128)") + " SELECT unnest(kept) AS pos FROM k WHERE n = (SELECT max(n) FROM k)",
+    "minhash_dedup": _turns_sql(0.8) + " SELECT unnest(kept) AS pos FROM k WHERE n = (SELECT max(n) FROM k)",
+    "deduplicated_turns": _turns_sql(0.9).replace("FROM conversations)", "FROM conversations WHERE text IS NOT NULL)") + " SELECT unnest(kept) AS pos FROM k WHERE n = (SELECT max(n) FROM k)",
+    "embedded_texts": f"SELECT doc_id, array_to_string(list_transform({_BYTES}, lambda x: CAST(round((x + 1) * 127.5) AS INTEGER)), ',') AS bytes FROM (SELECT doc_id, text, md5(text) AS d FROM documents)",
+    "diverse_sample": """WITH RECURSIVE e AS (SELECT vec_id, CAST(label AS DOUBLE) AS s, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+r AS (SELECT 0 AS step, NULL::BIGINT AS vec_id, []::BIGINT[] AS ids, []::DOUBLE[][] AS vs UNION ALL
+  SELECT step + 1, b.vec_id, list_append(ids, b.vec_id), list_append(vs, b.v) FROM (
+    SELECT step, ids, vs, arg_max({'vec_id': vec_id, 'v': v}, (0.5 * s - 0.5 * list_max(list_append(list_transform(vs, lambda x: list_cosine_similarity(x, v)), 0.0::DOUBLE)), -vec_id)) AS b
+    FROM (SELECT r.*, e.vec_id AS id2, e.s, e.v FROM r, e WHERE step < 10 AND NOT list_contains(ids, e.vec_id)) t(step, last, ids, vs, vec_id, s, v) GROUP BY step, ids, vs))
+SELECT CAST(step - 1 AS INTEGER) AS rank, vec_id FROM r WHERE step > 0""",
     "cosine_pairs": f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} > 0.3",
     "nearest_cosine": f"SELECT a.vec_id, round(max({_COS}), 6) AS nearest FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY a.vec_id",
     "pipeline_quota_run": f"""WITH n AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) * 6 // count(*) OVER () AS round, count(*) OVER () AS total FROM documents),
