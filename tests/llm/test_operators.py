@@ -277,6 +277,29 @@ def test_lines_places(spark):
     assert all(got[k].line_classes.split(",")[0] == "0:0:0:0" and got[k].n_removed >= 1 for k in range(1, 300)) and got[0].n_removed == 0
 
 
+def test_lines_work(spark, monkeypatch):
+    """Lines are folded once, tokens counted on a sample, and neither a sample without tokens nor shared slots change a result."""
+    odd = [(900 + k, t, "en", "a") for k, t in enumerate([" One\tTWO three ", "one two  three", "\t\x0b\n \r\n\x0c", "three two\rone", "\x0bone two three\x0c", "x\n\n  \ny ", "y\nX"])]
+    df = spark.createDataFrame(near_lines(40) + odd, cases.SCHEMA)
+    assert sorted((r.line_no, r.line) for r in linededup._lines(df.filter("doc_id >= 900"), "doc_id", "text").collect()) == sorted(
+        [(0, "one two three")] * 3 + [(0, "three two one"), (0, "x"), (3, "y"), (0, "y"), (1, "x")]
+    )
+    plan = linededup._lines(df, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("regexp_replace" in node for node in plan.splitlines()) == 1
+    words = df.select(F.explode(F.split("text", "[ \\t\\n]+")).alias("w")).distinct().select(F.collect_set(linededup._token(F.col("w"))).alias("t"))
+    want = bag(linededup.report(df).collect())
+    assert sum(r[3] for r in want) > 50
+    for counted, slots in ((5, 1 << 17), (1 << 13, 4)):
+        monkeypatch.setattr(linededup, "COUNTED", counted)
+        monkeypatch.setattr(linededup, "SLOTS", slots)
+        lines = linededup._counted(df, "doc_id", "text")
+        assert (lines.count() < linededup._lines(df, "doc_id", "text").count()) == (counted == 5)
+        table = linededup._table(lines)
+        row = words.select(F.size("t").alias("n"), linededup._ordered("t", table).alias("x")).first()
+        assert len(set(row.x)) == row.n and row.x == sorted(row.x)
+        assert bag(linededup.report(df).collect()) == want
+
+
 # --- 4
 
 
