@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ STEPS = 4096
 _PAD, _BITS, _PART_BITS = 63, 6, 4
 #: Distinct n-grams that a counting task holds before it hands them on.
 HELD = 1 << 21
+#: Bytes of text that a task scores at a time, and n-grams that it looks up at a time: the arrays of both take many times their texts.
+STEP, AT_ONCE = 2 << 20, 1 << 20
 _SYMBOLS = b"#*$%&|<>"
 
 
@@ -250,15 +253,15 @@ class Model:
             return np.frombuffer(f.read(), kind)
 
     def logp(self, codes: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of the last symbols; each distinct n-gram is looked up once, in order."""
-        if not len(codes):
-            return np.zeros(0, np.float32)
-        packed = (codes.astype(np.uint64) << np.uint64(32)) | np.arange(len(codes), dtype=np.uint64)
-        packed.sort()
-        ordered = (packed >> np.uint64(32)).astype(np.uint32)
-        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        """Natural log probabilities of the last symbols; each distinct n-gram of AT_ONCE is looked up once, in order."""
         out = np.empty(len(codes), np.float32)
-        out[(packed & np.uint64(0xFFFFFFFF)).astype(np.int64)] = np.repeat(self._logp(ordered[starts], len(self.levels)), np.diff(np.append(starts, len(ordered))))
+        for at in range(0, len(codes), AT_ONCE):
+            some = codes[at : at + AT_ONCE]
+            packed = (some.astype(np.uint64) << np.uint64(32)) | np.arange(len(some), dtype=np.uint64)
+            packed.sort()
+            ordered = (packed >> np.uint64(32)).astype(np.uint32)
+            starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            out[at + (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)] = np.repeat(self._logp(ordered[starts], len(self.levels)), np.diff(np.append(starts, len(ordered))))
         return out
 
     def _logp(self, codes: np.ndarray, level: int) -> np.ndarray:
@@ -321,58 +324,59 @@ def repeated_lines(text: bytes) -> int:
 _BASE = T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField(c, T.DoubleType()) for c in ("logppl", "logword")])
 
 
+def scorer(model: str, words: str, order: int = ORDER) -> Callable[[pa.RecordBatch], list[pa.Array]]:
+    """A kernel that takes texts and their languages, in slices of STEP bytes of text, to the columns of _BASE."""
+    table = _symbol_table()
+    models: dict[str, Model] = {}
+    coder, lexicons = wordmodel.Coder(), {}
+
+    def word_loss(batch):
+        out = np.full(batch.num_rows, np.nan)
+        at = 0
+        for part in slices(batch, wordmodel.STEP):
+            for lang in pc.unique(part.column(1)).to_pylist():
+                same = pc.equal(part.column(1), lang)
+                x = coder(part.column(0).filter(same))
+                m = lexicons.get(lang) or lexicons.setdefault(lang, wordmodel.Model(words, lang))
+                if len(x.texts):
+                    out[at + np.flatnonzero(same.to_numpy(zero_copy_only=False))[x.texts]] = m.loss(x)
+            at += part.num_rows
+        return out
+
+    def score(batch):
+        data = texts_of(batch.column(0))
+        base = []
+        for b in data:
+            words = b.split()
+            base.append((len(words), len(b) - len(b.translate(None, SPACE.encode())), len(b) - len(b.translate(None, _SYMBOLS)), repeated_lines(b), repeated_words(words)))
+        cols = np.array(base, np.int64).reshape(-1, 5)
+        cols[:, 1] = pc.utf8_length(batch.column(0).fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64) - cols[:, 1]
+        by = defaultdict(list)
+        for k, lang in enumerate(batch.column(1).to_pylist()):
+            by[lang].append(k)
+        loss = np.full(len(data), np.nan)
+        texts = batch.column(0).to_pylist()
+        for lang, ks in by.items():
+            m = models.get(lang) or models.setdefault(lang, Model(model, lang, order))
+            codes, n = ngrams([texts[k] or "" for k in ks], table, order)
+            if not len(codes) or m.empty:
+                continue
+            total = np.concatenate([[0.0], np.cumsum(m.logp(codes), dtype=np.float64)])
+            ends = np.cumsum(n)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                loss[ks] = -(total[ends] - total[ends - n]) / n
+        by_word = word_loss(batch)
+        return [*(pa.array(cols[:, k]) for k in range(5)), *(pa.array(x, mask=np.isnan(x)) for x in (loss, by_word))]
+
+    return lambda batch: [pa.concat_arrays(made) for made in zip(*map(score, slices(batch, STEP) if batch.num_rows else [batch]), strict=True)]
+
+
 def measured(docs: DataFrame, model: str, words: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
     """(id, lang, h1 and h2: hashes of the text, the base measures, logppl and logword: mean negative log probability of a symbol and of a word, null
     without symbols, words or model)."""
     work = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"), F.col(f"`{text_col}`").alias("t"))
     work = work.withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64("t", F.lit(1))})
-
-    def factory():
-        table = _symbol_table()
-        models: dict[str, Model] = {}
-        coder, lexicons = wordmodel.Coder(), {}
-
-        def word_loss(batch):
-            out = np.full(batch.num_rows, np.nan)
-            at = 0
-            for part in slices(batch, wordmodel.STEP):
-                for lang in pc.unique(part.column(1)).to_pylist():
-                    same = pc.equal(part.column(1), lang)
-                    x = coder(part.column(0).filter(same))
-                    m = lexicons.get(lang) or lexicons.setdefault(lang, wordmodel.Model(words, lang))
-                    if len(x.texts):
-                        out[at + np.flatnonzero(same.to_numpy(zero_copy_only=False))[x.texts]] = m.loss(x)
-                at += part.num_rows
-            return out
-
-        def kernel(batch):
-            data = texts_of(batch.column(0))
-            base = []
-            for b in data:
-                words = b.split()
-                base.append((len(words), len(b) - len(b.translate(None, SPACE.encode())), len(b) - len(b.translate(None, _SYMBOLS)), repeated_lines(b), repeated_words(words)))
-            cols = np.array(base, np.int64).reshape(-1, 5)
-            cols[:, 1] = pc.utf8_length(batch.column(0).fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64) - cols[:, 1]
-            by = defaultdict(list)
-            for k, lang in enumerate(batch.column(1).to_pylist()):
-                by[lang].append(k)
-            loss = np.full(len(data), np.nan)
-            texts = batch.column(0).to_pylist()
-            for lang, ks in by.items():
-                m = models.get(lang) or models.setdefault(lang, Model(model, lang, order))
-                codes, n = ngrams([texts[k] or "" for k in ks], table, order)
-                if not len(codes) or m.empty:
-                    continue
-                total = np.concatenate([[0.0], np.cumsum(m.logp(codes).astype(np.float64))])
-                ends = np.cumsum(n)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    loss[ks] = -(total[ends] - total[ends - n]) / n
-            by_word = word_loss(batch)
-            return [*(pa.array(cols[:, k]) for k in range(5)), *(pa.array(x, mask=np.isnan(x)) for x in (loss, by_word))]
-
-        return kernel
-
-    return arrow_columns(work, factory, _BASE, ["id", "lang", "h1", "h2"], ["t", "lang"])
+    return arrow_columns(work, lambda: scorer(model, words, order), _BASE, ["id", "lang", "h1", "h2"], ["t", "lang"])
 
 
 def base_failed() -> Column:

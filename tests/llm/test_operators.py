@@ -784,3 +784,26 @@ def test_quality_copies_and_junk(spark):
         got = {x.doc_id: x.kept for x in quality.quality(spark.createDataFrame(clean + copies[:some] + junk, cases.SCHEMA)).collect()}
         assert sum(got[k] for k, *_ in clean) >= 238
         assert not any(got[k] for k, *_ in junk)
+
+
+def test_quality_memory(spark, monkeypatch):
+    """A task's arrays don't grow with its batches, and the steps that a batch is scored in don't show."""
+    import tracemalloc
+
+    from millrace.llm import wordmodel
+
+    df = spark.createDataFrame([(k, cases.prose(k, 200), ("en", "fr")[k % 2]) for k in range(40)], "doc_id int, text string, lang string")
+    with monkeypatch.context() as m:
+        m.setattr(quality, "arrow_columns", lambda df, factory, *_: factory())
+        kernel = quality.measured(df, quality.train(df), wordmodel.train(df))
+    texts = [cases.prose(k, 2000) for k in range(30)] * 50
+    texts[700:703] = [None, "", " ".join(texts[:60])]
+    batch = pa.record_batch({"t": texts, "lang": ["en", "fr", "en"] * 500})
+    tracemalloc.start()
+    got = pa.record_batch(kernel(batch), names=list("abcdefg"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 1500 and peak < 8 * batch.nbytes, (peak, batch.nbytes)
+    for k in (0, 1, 699, 700, 701, 702, 1499):
+        one = pa.record_batch(kernel(batch.slice(k, 1)), names=list("abcdefg"))
+        assert [*got.slice(k, 1).to_pylist()[0].values()] == pytest.approx([*one.to_pylist()[0].values()])
