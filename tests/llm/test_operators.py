@@ -300,6 +300,44 @@ def test_lines_work(spark, monkeypatch):
         assert bag(linededup.report(df).collect()) == want
 
 
+def test_lines_order(spark, monkeypatch):
+    """More tokens than 32,767 have places; the order follows them by steps, and any size of its table gives the same result."""
+    words = spark.range(40_000).select(F.concat(F.lit("w"), F.col("id").cast("string"), F.when(F.col("id") < 100, "q").otherwise("")).alias("line"))
+    table = linededup._table(words.unionByName(words).unionByName(words).unionByName(words.filter("line like '%q'")))
+    slots = [x for x in map(int, table.split(",")) if x]
+    assert len(slots) > 37_000
+    df = words.filter("line like '%q' or line like 'w39___'").agg(F.collect_list(linededup._token(F.col("line"))).alias("t"))
+    frequent = {r.t for r in words.filter("line like '%q'").select(linededup._token(F.col("line")).alias("t")).collect()}
+    x = df.select(linededup._ordered("t", table).alias("x")).first().x
+    assert x == sorted(x) and len({k & linededup._MASK for k in x}) == 1100 and {k & linededup.CELLS - 1 for k in x[-80:]} <= {t & linededup.CELLS - 1 for t in frequent}
+    docs = spark.createDataFrame(near_lines(40), cases.SCHEMA)
+    want = bag(linededup.report(docs).collect())
+    monkeypatch.setattr(linededup, "CELLS", 4)
+    assert bag(linededup.report(docs).collect()) == want
+
+
+def test_lines_meet(spark, monkeypatch):
+    """The shorter line's prefix is cut behind the shuffle that both sides read, unless a token is hot; the candidates are the same."""
+    df = spark.createDataFrame(near_lines(60), cases.SCHEMA)
+    lines = linededup._lines(df, "doc_id", "text")
+    sets = linededup._line_sets(lines, linededup._table(linededup._counted(df, "doc_id", "text")))
+    classes = linededup.materialise(sets.dropDuplicates(["s1"]))
+    found = {}
+    for hot in (False, True):
+        monkeypatch.setattr(linededup, "SKEWED", 1e9 * (not hot) - 1)
+        monkeypatch.setattr(linededup, "SAMPLED", 1)
+        assert linededup._hot(classes) == hot
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = linededup._candidates(classes)
+        found[hot] = bag(got.collect())
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert got._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") == 1
+        # The cut stands above the shuffle; with a hot token nothing stands between the join and the shuffles.
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert ("RepartitionByExpression" in plan) != hot and ("Generate explode" in plan.partition("RepartitionByExpression")[0]) != hot
+    assert found[False] == found[True] and len(found[True]) > 20
+
+
 # --- 4
 
 
