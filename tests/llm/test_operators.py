@@ -316,6 +316,31 @@ def test_lines_order(spark, monkeypatch):
     assert bag(linededup.report(docs).collect()) == want
 
 
+def test_lines_spared(spark, monkeypatch):
+    """Rows that a join can't need stay out of its shuffles; the table that tells them loses no key at any size. Texts folded whole give the sets of folded lines."""
+    odd = [(900 + k, t, "en", "a") for k, t in enumerate([" One\tTWO  three ", "\u039f\u0394\u039f\u03a3\n\u039f\u0394\u039f\u03a3 \u0130x\n\u03a3\n.\u03a3\n\u03a3\u0391", "\t\x0b\n \r\n\x0c", "x\n\n  \ny ", "", None, "a  a\rB\x0c\x0bb "])]
+    df = spark.createDataFrame(near_lines(40) + odd, cases.SCHEMA)
+    table = linededup._table(linededup._counted(df, "doc_id", "text"))
+    one, other = (bag(linededup._line_sets(f(df, "doc_id", "text"), table).withColumn("prefix", F.col("prefix").cast("string")).collect()) for f in (linededup._lines, linededup._loose_lines))
+    assert one == other and len(one) > 200
+    numbers = spark.range(20_000).select("id", F.xxhash64("id").alias("h"))
+    some = numbers.filter("id % 100 = 7")
+    want = bag(linededup.report(df).collect())
+    for marks in (linededup.MARKS, 64):
+        monkeypatch.setattr(linededup, "MARKS", marks)
+        told = {r.id for r in linededup._told(numbers, "h", linededup._marks(some, "h")).filter("told").collect()}
+        assert {r.id for r in some.collect()} <= told and (len(told) < 250 or marks == 64)
+        assert not linededup._told(numbers, "h", linededup._marks(some.limit(0), "h")).filter("told").count()
+        assert bag(linededup.report(df).collect()) == want
+    seen = []
+    monkeypatch.setattr(linededup, "MARKS", 1 << 22)
+    monkeypatch.setattr(linededup, "materialise", lambda d, **k: seen.append(d._jdf.queryExecution().optimizedPlan().toString()) or d.localCheckpoint())
+    linededup.report(df).collect()
+    # Besides the two passes over all texts (tokens counted, sets made), texts are read for candidates, and only marked ones.
+    texts = [p for p in seen if "element_at(lines" in p]
+    assert len(texts) == 1 and "getbit" in texts[0].lower()
+
+
 def test_lines_meet(spark, monkeypatch):
     """The shorter line's prefix is cut behind the shuffle that both sides read, unless a token is hot; the candidates are the same."""
     df = spark.createDataFrame(near_lines(60), cases.SCHEMA)
