@@ -12,6 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HASHES = 128
+#: Shingles whose hashes a task remembers, and those of a text that are looked up at a time.
+KNOWN, LOOKED_UP = 50_000, 4096
+#: Positions that a band's key covers at least if it stands for a group of bands with one mismatch.
+WIDE = 6
+#: Members of a key beyond which they meet in parts.
+HOT = 2048
 #: Vectors in a block of the cosine join.
 VECTORS = 1024
 
@@ -60,18 +66,25 @@ def signatures(df: DataFrame, text: str, key: str) -> DataFrame:
     """
 
     def run(batches):
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, int] = {}
+        table = np.empty((1024, HASHES), np.uint64)
         for batch in batches:
             out = np.empty((batch.num_rows, HASHES), np.int64)
             for row, t in enumerate(batch.column(1).to_pylist()):
-                least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-                for s in _trigrams(t or ""):
-                    h = known.get(s)
-                    if h is None:
-                        if len(known) > 50_000:
-                            known.clear()
-                        h = known[s] = _hashes(s)
-                    np.minimum(least, h, out=least)
+                least, shingles = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64), list(_trigrams(t or ""))
+                for k in range(0, len(shingles), LOOKED_UP):
+                    if len(known) > KNOWN:
+                        known.clear()
+                    places = []
+                    for s in shingles[k : k + LOOKED_UP]:
+                        place = known.get(s)
+                        if place is None:
+                            place = known[s] = len(known)
+                            if place == len(table):
+                                table = np.concatenate([table, np.empty_like(table)])
+                            table[place] = _hashes(s)
+                        places.append(place)
+                    np.minimum(least, table[places].min(axis=0), out=least)
                 out[row] = least.view(np.int64)
             flat = pa.array(out.reshape(-1))
             sig = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, HASHES, dtype=np.int32)), flat)
@@ -103,15 +116,47 @@ def minhash_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
     """All pairs (a, b, sim), a < b, of classes of equal signatures, by their smallest keys, whose agreement is over the
     threshold; none is missed. `minhash_members` tells the keys of a class; equal signatures aren't paired with each other.
 
-    At most m positions may differ, so of m + 1 bands one is equal: an equi-join on bands finds every pair.
+    """
+    return _class_pairs(settled(minhash_classes(sigs)), threshold)
+
+
+def _keys(m: int) -> list[list[tuple[int, int]]]:
+    """Keys, each a list of spans of positions, of which signatures that differ in at most m positions share at least one.
+
+    Of m + 1 bands one is equal. Half as many groups of positions have one with at most one mismatch, so of a group's three
+    parts two are equal: where groups are large enough, keys of two parts cover more positions than a band.
+    """
+    spans = lambda lo, hi, n: [(lo + (hi - lo) * k // n, lo + (hi - lo) * (k + 1) // n) for k in range(n)]
+    groups = m // 2 + 1
+    if m < 1 or HASHES * 2 // 3 < WIDE * groups:
+        return [[span] for span in spans(0, HASHES, m + 1)]
+    return [[x for x in parts if x != left_out] for parts in (spans(*group, 3) for group in spans(0, HASHES, groups)) for left_out in parts]
+
+
+def _class_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """minhash_pairs of classes (sig, rep) that are written down.
+
+    Classes meet where they share a key. Two low bits of each minimum travel along, as four words of 64 bits; positions
+    where they differ are different ones, so nearly all pairs that meet are refused in the join, before anything of them
+    is written. The rest is compared on whole signatures. Keys with over HOT members meet in parts.
     """
     m = HASHES - int(HASHES * threshold + 1e-9) - 1
-    bands = max(1, m + 1)
-    edges = [HASHES * k // bands for k in range(bands + 1)]
-    classes = settled(minhash_classes(sigs))
-    keyed = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.slice("sig", edges[k] + 1, edges[k + 1] - edges[k])).alias("h")) for k in range(bands)])
-    banded = classes.select("rep", F.explode(keyed).alias("x")).select("rep", "x.*")
-    met = banded.alias("a").join(banded.alias("b"), ["band", "h"]).filter("a.rep < b.rep").select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    if m < 0:
+        return classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("sim")).limit(0)
+    bits = lambda half, bit: F.aggregate(F.slice("sig", 64 * half + 1, 64), F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(F.shiftright(x, bit).bitwiseAND(F.lit(1))))
+    hashes = [F.xxhash64(F.lit(k), *[F.slice("sig", lo + 1, hi - lo) for lo, hi in spans]) for k, spans in enumerate(_keys(m))]
+    keyed = classes.select("rep", *[bits(half, bit).alias(f"w{half}{bit}") for half in (0, 1) for bit in (0, 1)], F.array(*hashes).alias("hs"))
+    banded = keyed.select("rep", "w00", "w01", "w10", "w11", F.explode("hs").alias("h"))
+    hot = banded.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("h", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    # There is at most one hot key in HOT postings, so they are few.
+    banded = banded.join(F.broadcast(settled(hot)), "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # By number, so that partitions, small but full of pairs, aren't merged.
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = banded.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("parts").repartition(n, "h", "part").alias("a")
+    other = banded.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").repartition(n, "h", "part").alias("b")
+    differ = [F.bit_count(F.col(f"a.w{half}0").bitwiseXOR(F.col(f"b.w{half}0")).bitwiseOR(F.col(f"a.w{half}1").bitwiseXOR(F.col(f"b.w{half}1")))) for half in (0, 1)]
+    near = (F.col("a.h") == F.col("b.h")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.rep") < F.col("b.rep")) & (differ[0] + differ[1] <= m)
+    met = one.join(other, near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
     left, right = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), classes.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
     return met.join(left, "a").join(right, "b").withColumn("sim", agreement(F.col("sa"), F.col("sb"))).filter(F.col("sim") > threshold).select("a", "b", "sim")
 
@@ -139,9 +184,8 @@ def greedy_removed(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
 
 def minhash_dedup(df: DataFrame, text: str, key: str, threshold: float = 0.8) -> DataFrame:
     """The rows of df that stay. Classes of equal signatures keep their first row and only representatives are paired."""
-    sigs = settled(signatures(df, text, key))
-    classes = settled(minhash_classes(sigs).select("sig", F.col("rep").alias("key")))
-    reps = classes.select("key").join(greedy_removed(minhash_pairs(classes, threshold)), "key", "left_anti")
+    classes = settled(minhash_classes(signatures(df, text, key)))
+    reps = classes.select(F.col("rep").alias("key")).join(greedy_removed(_class_pairs(classes, threshold)), "key", "left_anti")
     return df.join(reps.withColumnRenamed("key", "__kept"), F.col(key) == F.col("__kept"), "left_semi")
 
 

@@ -122,6 +122,41 @@ def test_minhash_is_exact_and_greedy(spark, threshold):
     assert sorted(r.k for r in dedup.minhash_dedup(df, "t", "k", threshold).collect()) == kept
 
 
+def _stages(spark):
+    """Stages that ran so far, by number."""
+    sc = spark.sparkContext
+    none = sc._jvm.java.util.ArrayList
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = sc._jsc.sc().statusStore().stageList(none(), False, False, sc._gateway.new_array(sc._jvm.double, 0), none())
+    return {found.apply(k).stageId(): found.apply(k) for k in range(found.size())}
+
+
+def test_minhash_keys_miss_no_pair():
+    rng = np.random.default_rng(11)
+    for m in (0, 1, 2, 12, 25, 40, 102, 127):
+        keys = [{p for lo, hi in spans for p in range(lo, hi)} for spans in dedup._keys(m)]
+        for _ in range(300):
+            differ = set(rng.choice(dedup.HASHES, m, replace=False).tolist())
+            assert any(not differ & key for key in keys)
+
+
+@pytest.mark.parametrize("hot", [2048, 16])
+def test_minhash_pairs_that_only_meet_are_not_written(spark, monkeypatch, hot):
+    """300 signatures with 60 positions in common meet in many keys; four of them have near copies."""
+    monkeypatch.setattr(dedup, "HOT", hot)
+    rng = np.random.default_rng(5)
+    sigs = rng.integers(-(1 << 62), 1 << 62, (304, 128))
+    sigs[:, :60] = sigs[0, :60]
+    sigs[300:] = sigs[:4]
+    sigs[300:, 103:] += 1
+    sigs[303, 102] += 1
+    df = dedup.settled(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sigs)], "key int, sig array<bigint>"))
+    before = _stages(spark)
+    assert {(r.a, r.b, r.sim) for r in dedup.minhash_pairs(df, 0.8).collect()} == {(i, 300 + i, 103 / 128) for i in range(3)}
+    rows = [x.shuffleWriteRecords() for k, x in _stages(spark).items() if k not in before]
+    assert hot < 2048 or max(rows) < 20_000
+
+
 def test_cosine(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(90, 6))
