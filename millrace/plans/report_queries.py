@@ -123,10 +123,11 @@ def _numbered(samples):
 
 
 def persona_expansion_rounds(spark, sf_dir):
-    """Personas of customers, expanded twice by the deterministic backend."""
+    """Personas of customers, expanded twice by the deterministic backend; a round that brings none counts as well."""
     first = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("persona"))
     people = generators.Personas(DeterministicBackend(items=2), first, rounds=2, most=1 << 40)
-    return people.expanded(first).groupBy("hop").agg(F.count("*").alias("n"), F.countDistinct("persona").alias("personas")).select(F.col("hop").cast("bigint").alias("hop"), "n", "personas")
+    told = people.expanded(first).groupBy(F.col("hop").cast("bigint").alias("hop")).agg(F.count("*").alias("n"), F.countDistinct("persona").alias("personas"))
+    return spark.range(people.rounds + 1).withColumnRenamed("id", "hop").join(told, "hop", "left").fillna(0, ["n", "personas"])
 
 
 _TOPICS = generators.TopicTree(DeterministicBackend(items=2), domain="trade", depth=3, most=4, pivots=2, task_types=("qa", "explain"), difficulty=(1, 2))

@@ -15,6 +15,19 @@ def test_query(spark, duck, sf_dir, name):
         assert len(got)
 
 
+def test_persona_rounds_that_bring_nobody_count(spark, tmp_path):
+    """The deterministic backend knows 65,536 personas: so many customers find them all in the first round."""
+    import duckdb
+
+    path = str(tmp_path / "customer.parquet")
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT range AS c_custkey, 'Customer#' || range AS c_name FROM range(500000)) TO '{path}'")
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{path}'")
+    want = con.sql(catalogue.SQL["persona_expansion_rounds"]).df()
+    assert want.sort_values("hop")["n"].tolist() == [500000, 65536, 0]
+    same_rows(catalogue.QUERIES["persona_expansion_rounds"](spark, str(tmp_path)).toPandas(), want)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
