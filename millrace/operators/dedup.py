@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 HASHES = 128
 #: Shingles whose hashes a task remembers, and those of a text that are looked up at a time.
@@ -18,8 +20,10 @@ KNOWN, LOOKED_UP = 50_000, 4096
 WIDE = 6
 #: Members of a key beyond which they meet in parts.
 HOT = 2048
-#: Vectors in a block of the cosine join.
+#: Vectors of which two blocks meet in one matrix product.
 VECTORS = 1024
+#: Groups of vectors that tasks of the cosine join hold two of, and bytes of numbers in a group beyond which there are more.
+GROUPS, GROUP_BYTES = 16, 1 << 25
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -192,41 +196,69 @@ def minhash_dedup(df: DataFrame, text: str, key: str, threshold: float = 0.8) ->
 def cosine_pairs(df: DataFrame, key: str, vector: str, threshold: float, block: int = VECTORS) -> DataFrame:
     """All pairs (a, b, sim), a < b, with a cosine over the threshold; zero vectors have cosine 0.
 
-    A stated exact all-pairs job: blocks of vectors meet block by block, each meeting one matrix product in a task of its
-    own; a block holds about `block` vectors, whatever their number.
+    A stated exact all-pairs job: groups of vectors meet group by group in tasks of their own, there block by block, one
+    matrix product each; a block holds `block` vectors, whatever their number.
     """
 
-    def meet(one, two, sims, same):
-        i, j = np.nonzero(sims > threshold)
-        a, b, s = one[i], two[j], sims[i, j]
-        ok = a < b if same else np.ones(len(a), bool)
-        a, b, s = a[ok], b[ok], s[ok]
-        return {"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": s}
+    def meet(one, two, blocks):
+        for rows, columns, sims in blocks:
+            i, j = np.nonzero(sims > threshold)
+            a, b, s = one[rows][i], two[columns][j], sims[i, j]
+            if one is two:
+                once = (i + rows.start < j + columns.start) & (a != b)
+                a, b, s = a[once], b[once], s[once]
+            yield {"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": s}
 
     kind = df.schema[key].dataType.simpleString()
-    return _blockwise(df, key, vector, block, meet, f"a {kind}, b {kind}, sim double")
+    return _groupwise(df, key, vector, block, meet, f"a {kind}, b {kind}, sim double")
 
 
-def _blockwise(df: DataFrame, key: str, vector: str, block: int, meet: Callable, schema: str) -> DataFrame:
-    """meet(keys of one block, keys of another, their cosines, whether they are the same block) for every two blocks."""
-    n = df.count()
-    blocks = max(1, -(-n // block))
-    placed = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("g"))
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    sent = placed.select("k", "v", "g", F.explode(others).alias("o")).withColumns({"x": F.least("g", "o"), "y": F.greatest("g", "o")})
+def _groupwise(df: DataFrame, key: str, vector: str, block: int, meet: Callable, schema: str) -> DataFrame:
+    """meet(keys of one group, keys of another or the same, blocks) for every two groups; blocks are (rows, columns, cosines).
 
-    def run(pdf):
-        import pandas as pd
-
-        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
-        unit = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        norm = np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-        unit = np.divide(unit, norm, out=np.zeros_like(unit), where=norm > 0)
-        keys, g = pdf["k"].to_numpy(), pdf["g"].to_numpy()
-        one, two = np.flatnonzero(g == x), np.flatnonzero(g == y)
-        return pd.DataFrame(meet(keys[one], keys[two], unit[one] @ unit[two].T, x == y))
+    Every vector is sent once to each group, as it is stored. There are GROUPS of them, fewer of half a block if that is all,
+    so what is sent grows as the input until groups reach GROUP_BYTES. Beyond, more groups keep a task's memory bounded.
+    """
+    kind = df.schema[vector].dataType.elementType.simpleString()
+    stored = "float" if kind == "float" else "double"
+    n, dim = df.agg(F.count("*"), F.max(F.size(vector))).first()
+    groups = max(1, min(GROUPS, 2 * n // block), -(-n * 8 * max(dim or 0, 1) // GROUP_BYTES))
+    placed = df.select(F.col(key).alias("k"), F.col(vector).cast(f"array<{stored}>").alias("v"), F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("g"))
+    others = F.sequence(F.lit(0), F.lit(groups - 1))
+    sent = placed.select("k", "v", "g", F.explode(others).alias("o")).withColumns({"x": F.least("g", "o"), "y": F.greatest("g", "o")}).drop("o")
+    out = T._parse_datatype_string(schema)
+
+    def run(place: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = (p.as_py() for p in place)
+        held: dict[int, list] = {x: [], y: []}
+        for batch in batches:
+            k, v, g = (batch.column(batch.schema.get_field_index(c)) for c in ("k", "v", "g"))
+            numbers = v.flatten().to_numpy(zero_copy_only=False)
+            if v.null_count or len(numbers) != len(v) * dim or v.flatten().null_count:
+                raise ValueError(f"vectors of {dim} numbers are asked for")
+            numbers, keys, g = numbers.reshape(len(v), dim), k.to_numpy(zero_copy_only=False), g.to_numpy()
+            for one in held:
+                held[one].append((keys[g == one], numbers[g == one]))
+        sides = {}
+        for one, parts in held.items():
+            unit = np.concatenate([p[1] for p in parts]).astype(np.float64)
+            norm = np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+            sides[one] = np.concatenate([p[0] for p in parts]), np.divide(unit, norm, out=unit, where=norm > 0)
+        held.clear()
+        (one, left), (two, right) = sides[x], sides[y]
+
+        def blocks():
+            for i in range(0, len(left), block):
+                for j in range(i if x == y else 0, len(right), block):
+                    yield slice(i, i + block), slice(j, j + block), left[i : i + block] @ right[j : j + block].T
+
+        arrow = to_arrow_schema(out)
+        for found in meet(one, two, blocks()):
+            yield pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) for f in arrow], schema=arrow)
 
-    return sent.groupBy("x", "y").applyInPandas(run, schema)
+    # By number, so that partitions, small but full of pairs, aren't merged.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(max(parts, groups * (groups + 1) // 2), "x", "y").groupBy("x", "y").applyInArrow(run, schema)
 
 
 def embedding_dedup(df: DataFrame, key: str, vector: str, threshold: float = 0.9) -> DataFrame:
@@ -244,19 +276,22 @@ def deduplicate(df: DataFrame, text: str, key: str, threshold: float = 0.9, embe
 
 
 def nearest(df: DataFrame, key: str, vector: str, block: int = VECTORS) -> DataFrame:
-    """(key, cosine to the nearest other vector): low values are holes in the data. Exact, by blocks: of each two blocks
-    every vector brings its best, so twice as many rows as vectors leave a task."""
-
-    def meet(one, two, sims, same):
-        if same:
-            np.fill_diagonal(sims, -np.inf)
-        if not sims.size or sims.shape == (1, 1) and same:
-            return {"key": one[:0], "sim": np.zeros(0)}
-        if same:
-            return {"key": one, "sim": sims.max(axis=1)}
-        return {"key": np.concatenate([one, two]), "sim": np.concatenate([sims.max(axis=1), sims.max(axis=0)])}
-
-    best = _blockwise(df, key, vector, block, meet, f"key {df.schema[key].dataType.simpleString()}, sim double")
+    """(key, cosine to the nearest other vector): low values are holes in the data. Exact, by groups: of each two groups
+    every vector brings its best, so as many rows for each vector as there are groups leave the tasks."""
+
+    def meet(one, two, blocks):
+        same = one is two
+        best = [np.full(len(x), -np.inf) for x in ((one,) if same else (one, two))]
+        for rows, columns, sims in blocks:
+            if same and rows == columns:
+                np.fill_diagonal(sims, -np.inf)
+            if sims.size:
+                best[0][rows] = np.maximum(best[0][rows], sims.max(axis=1))
+                best[-1][columns] = np.maximum(best[-1][columns], sims.max(axis=0))
+        for keys, sim in zip((one, two), best):
+            yield {"key": keys[sim != -np.inf], "sim": sim[sim != -np.inf]}
+
+    best = _groupwise(df, key, vector, block, meet, f"key {df.schema[key].dataType.simpleString()}, sim double")
     return best.groupBy("key").agg(F.max("sim").alias("nearest"))
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from functools import partial
 
 import numpy as np
 import pytest
@@ -177,6 +178,34 @@ def test_cosine(spark):
     assert sorted(r.k for r in dedup.embedding_dedup(df, "k", "v", 0.8).collect()) == kept
 
 
+@pytest.mark.parametrize("job", ["cosine_pairs"])
+def test_cosine_sends_as_much_as_there_is(spark, monkeypatch, job):
+    """Four times the vectors are four times the rows in the shuffles, not sixteen times."""
+    v = np.random.default_rng(4).normal(size=(512, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k int, v array<float>")
+    if job == "embedding_dedup":
+        monkeypatch.setattr(dedup, "cosine_pairs", partial(dedup.cosine_pairs, block=8))
+    run = {"cosine_pairs": lambda d: dedup.cosine_pairs(d, "k", "v", 0.99, block=8), "nearest": lambda d: dedup.nearest(d, "k", "v", block=8), "embedding_dedup": lambda d: dedup.embedding_dedup(d, "k", "v", 0.99)}[job]
+    sent = []
+    for n in (128, 512):
+        before = _stages(spark)
+        run(df.limit(n)).collect()
+        sent.append(sum(x.shuffleWriteRecords() for k, x in _stages(spark).items() if k not in before))
+    assert sent[1] < 6 * sent[0]
+
+
+def test_cosine_groups_have_bounded_bytes(spark, monkeypatch):
+    """More groups than GROUPS if they would be too large; texts as keys; a vector of another length is an error."""
+    monkeypatch.setattr(dedup, "GROUP_BYTES", 200)
+    v = np.random.default_rng(8).normal(size=(40, 3))
+    sim = (u := v / np.linalg.norm(v, axis=1, keepdims=True)) @ u.T
+    df = spark.createDataFrame([(f"k{i:02}", x.tolist()) for i, x in enumerate(v)], "k string, v array<double>")
+    got = {(r.a, r.b): r.sim for r in dedup.cosine_pairs(df, "k", "v", 0.5).collect()}
+    assert got == pytest.approx({(f"k{i:02}", f"k{j:02}"): sim[i, j] for j in range(40) for i in range(j) if sim[i, j] > 0.5})
+    with pytest.raises(Exception, match="vectors of 3 numbers are asked for"):
+        dedup.nearest(df.unionByName(spark.createDataFrame([("x", [1.0])], df.schema)), "k", "v").collect()
+
+
 @pytest.mark.parametrize("n", [1, 2, 9, 10, 11, 37])
 def test_order_statistics(spark, n):
     random.seed(n)
