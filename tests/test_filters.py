@@ -178,7 +178,7 @@ def test_cosine(spark):
     assert sorted(r.k for r in dedup.embedding_dedup(df, "k", "v", 0.8).collect()) == kept
 
 
-@pytest.mark.parametrize("job", ["cosine_pairs", "embedding_dedup"])
+@pytest.mark.parametrize("job", ["cosine_pairs", "nearest", "embedding_dedup"])
 def test_cosine_sends_as_much_as_there_is(spark, monkeypatch, job):
     """Four times the vectors are four times the rows in the shuffles, not sixteen times."""
     v = np.random.default_rng(4).normal(size=(512, 16)).astype(np.float32)
