@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.text import json_value, strip
-from millrace.operators import planning
+from millrace.operators import dedup, planning
 from millrace.schema import SAMPLE
 
 
@@ -91,16 +91,30 @@ class JsonlWriter:
 
 
 def write_file(df: DataFrame, path: str, order: str | None = "_pos", nulls: bool = True) -> int:
-    """Writes df as one JSON Lines file in order, streamed through the driver row by row. For small results."""
+    """Writes df as one JSON Lines file in order. Tasks write its parts to a shared folder, and their bytes are put one after
+    the other in the file, buffer by buffer: no rows come to the driver."""
+    spark = df.sparkSession
     ordered = df.orderBy(order) if order and order in df.columns else df
     body = ordered.select(F.to_json(F.struct(*[c for c in df.columns if c != order]), {"ignoreNullFields": str(not nulls).lower()}).alias("j"))
-    n = 0
+    seen, parts = Observation(), dedup.shared_folder(spark, "parts")
+    body.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "none").option("lineSep", "\n").text(parts)
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        for row in body.toLocalIterator():
-            f.write(row.j + "\n")
-            n += 1
-    return n
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    there = jvm.org.apache.hadoop.fs.Path(parts)
+    fs = there.getFileSystem(conf)
+    out = jvm.java.io.FileOutputStream(str(Path(path).absolute()))
+    try:
+        names = [x.getPath().getName() for x in fs.listStatus(there)]
+        for name in sorted((x for x in names if x.startswith("part-")), key=lambda x: int(x.split("-")[1])):
+            part = fs.open(jvm.org.apache.hadoop.fs.Path(there, name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+    fs.delete(there, True)
+    return seen.get["n"]
 
 
 FORMATS = {"json": "json", "jsonl": "json", "parquet": "parquet", "csv": "csv", "tsv": "csv", "orc": "orc", "txt": "text"}

@@ -16,6 +16,7 @@ from millrace.pipeline import CheckpointError, ConfigChanged, Pipeline
 from millrace.schema import as_samples
 from millrace.sources import jsonl
 from millrace.streaming import curate
+from tests.test_filters import _stages
 
 
 def source(spark, n, round_):
@@ -256,3 +257,15 @@ def test_command_line(spark, tmp_path, capsys):
 def test_jsonl_file_order(spark, tmp_path):
     assert jsonl.write_file(source(spark, 20, 0).select("_pos", "instruction"), str(tmp_path / "f.jsonl")) == 20
     assert [json.loads(x)["instruction"] for x in (tmp_path / "f.jsonl").open()][:3] == ["question 0", "question 1", "question 2"]
+
+
+def test_file_is_written_without_its_rows_in_the_driver(spark, tmp_path):
+    text = F.concat(*[F.md5(F.concat_ws("-", F.col("id"), F.lit(k))) for k in range(32)])
+    df = spark.range(2000).select((1999 - F.col("id")).alias("_pos"), text.alias("instruction"), F.when(F.col("id") % 2 == 0, "\u00e9\u2028\n").alias("more")).repartition(7)
+    before = _stages(spark)
+    assert jsonl.write_file(df, str(tmp_path / "deep" / "f.jsonl"), nulls=False) == 2000
+    assert sum(x.resultSize() for k, x in _stages(spark).items() if k not in before) < 300_000
+    with (tmp_path / "deep" / "f.jsonl").open(encoding="utf-8", newline="\n") as f:
+        got = [json.loads(x) for x in f]
+    assert got == [{"instruction": r.instruction} | ({"more": r.more} if r.more else {}) for r in df.orderBy("_pos").collect()]
+    assert jsonl.write_file(df.limit(0), str(tmp_path / "none.jsonl")) == 0 and (tmp_path / "none.jsonl").read_bytes() == b""
