@@ -141,19 +141,19 @@ def test_minhash_keys_miss_no_pair():
             assert any(not differ & key for key in keys)
 
 
-@pytest.mark.parametrize("hot", [2048, 16])
-def test_minhash_pairs_that_only_meet_are_not_written(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "threshold", "agree"), [(2048, 0.8, 103), (16, 0.8, 103), (2048, 0.9, 116)])
+def test_minhash_pairs_that_only_meet_are_not_written(spark, monkeypatch, hot, threshold, agree):
     """300 signatures with 60 positions in common meet in many keys; four of them have near copies."""
     monkeypatch.setattr(dedup, "HOT", hot)
     rng = np.random.default_rng(5)
     sigs = rng.integers(-(1 << 62), 1 << 62, (304, 128))
     sigs[:, :60] = sigs[0, :60]
     sigs[300:] = sigs[:4]
-    sigs[300:, 103:] += 1
-    sigs[303, 102] += 1
+    sigs[300:, agree:] += 1
+    sigs[303, agree - 1] += 1
     df = dedup.settled(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sigs)], "key int, sig array<bigint>"))
     before = _stages(spark)
-    assert {(r.a, r.b, r.sim) for r in dedup.minhash_pairs(df, 0.8).collect()} == {(i, 300 + i, 103 / 128) for i in range(3)}
+    assert {(r.a, r.b, r.sim) for r in dedup.minhash_pairs(df, threshold).collect()} == {(i, 300 + i, agree / 128) for i in range(3)}
     rows = [x.shuffleWriteRecords() for k, x in _stages(spark).items() if k not in before]
     assert hot < 2048 or max(rows) < 20_000
 
